@@ -27,14 +27,14 @@ STOP_WORDS = tuple(
 )
 WINDOW = 5
 
-#: metric, least, most (None: no bound).
-RULES: tuple[tuple[str, float | None, float | None], ...] = (
-    ("mean_word_chars", 2.0, 14.0),
-    ("symbol_ratio", None, 0.10),
-    ("shout_ratio", None, 0.20),
-    ("upper_ratio", None, 0.50),
-    ("stop_word_ratio", 0.02, None),
-    ("dup_line_ratio", None, 0.50),
+#: metric, least, most (None: no bound), words a text needs for the rule to say anything.
+RULES: tuple[tuple[str, float | None, float | None, int], ...] = (
+    ("mean_word_chars", 2.0, 14.0, 1),
+    ("symbol_ratio", None, 0.10, 1),
+    ("shout_ratio", None, 0.20, 1),
+    ("upper_ratio", None, 0.50, 1),
+    ("stop_word_ratio", 0.02, None, 40),
+    ("dup_line_ratio", None, 0.50, 1),
 )
 
 
@@ -118,11 +118,11 @@ def compile_rules(m: Column, rules: tuple = RULES) -> Column:
     """Array of the names of the rules that don't hold."""
     have = ratios(m)
     tests = []
-    for name, least, most in rules:
+    for name, least, most, n_words in rules:
         bad = F.lit(False)
         bad = bad if least is None else bad | (have[name] < least)
         bad = bad if most is None else bad | (have[name] > most)
-        tests.append(F.when(bad, F.lit(name)))
+        tests.append(F.when(bad & (m["n_words"] >= n_words), F.lit(name)))
     return F.array_compact(F.array(*tests))
 
 

@@ -71,9 +71,9 @@ _RATIO = {
 }
 
 
-def _bad(name: str, least: float | None, most: float | None) -> str:
+def _bad(name: str, least: float | None, most: float | None, n_words: int) -> str:
     tests = ([] if least is None else [f"{_RATIO[name]} < {least}"]) + ([] if most is None else [f"{_RATIO[name]} > {most}"])
-    return f"CASE WHEN {' OR '.join(tests)} THEN '{name}' END"
+    return f"CASE WHEN n_words >= {n_words} AND ({' OR '.join(tests)}) THEN '{name}' END"
 
 
 OP6 = f"""
