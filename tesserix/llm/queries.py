@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserix.llm import chat, quality, sharding
+from tesserix.llm import chat, decontam, pii, quality, secrets, sharding
 from tesserix.llm import sql as twins
 from tesserix.llm.common import read
 
@@ -28,9 +28,24 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("failed_rules", F.array_join("failed_rules", ","))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_decontamination": op2_decontamination,
     "op3_byte_shards": op3_byte_shards,
     "op5_chat_perspectives": op5_chat_perspectives,
     "op6_quality_rules": op6_quality_rules,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_pii": op9_pii,
 }
 ORACLES: dict[str, str] = twins.TWINS

@@ -106,3 +106,30 @@ SELECT *, NOT base_failed AND failed_rules = '' AS kept FROM j
 """
 
 TWINS: dict[str, str] = {"op3_byte_shards": _op3(), "op5_chat_perspectives": OP5, "op6_quality_rules": OP6}
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP2 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS l, array_to_string(w[p : p + least(13, len(w)) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 11))) AS p FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT rid, l, p, array_to_string(w[p : p + l - 1], ' ') AS g
+  FROM (SELECT rid, w, l, unnest(range(1, len(w) - l + 2)) AS p FROM d, (SELECT DISTINCT l FROM bw) WHERE len(w) >= l)
+), hits AS (
+  SELECT DISTINCT rid, dw.l, p, item_id FROM dw JOIN bw USING (l, g)
+), covered AS (
+  SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest(range(p, p + l)) AS q FROM hits) GROUP BY rid
+), ids AS (
+  SELECT rid, count(*) AS n, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT rid, item_id::VARCHAR AS i FROM hits) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit, coalesce(ids.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids.s, '')) AS items_sha256,
+  coalesce(covered.n, 0) > 0 AND 20 * coalesce(covered.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN ids USING (rid)
+"""
+TWINS["op2_decontamination"] = OP2
