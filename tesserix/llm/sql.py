@@ -133,3 +133,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN covered USING (rid) LEFT JOIN ids USING (rid)
 """
 TWINS["op2_decontamination"] = OP2
+
+OP4 = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), win AS (
+  SELECT rid, doc_id, p, array_to_string(w[p : p + 19], ' ') AS g FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d)
+), dup AS (
+  SELECT rid, p FROM (
+    SELECT rid, p, doc_id, min(coalesce(doc_id, -9223372036854775808)) OVER (PARTITION BY g) AS d0, min(p) OVER (PARTITION BY g, doc_id) AS p0 FROM win
+  ) WHERE coalesce(doc_id, -9223372036854775808) > d0 OR p > p0
+), gone AS (
+  SELECT DISTINCT rid, unnest(range(p, p + 20)) AS q FROM dup
+), removed AS (
+  SELECT rid, count(*) AS n FROM gone GROUP BY rid
+), kept AS (
+  SELECT rid, string_agg(x, ' ' ORDER BY q) AS s
+  FROM (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM d) ANTI JOIN gone USING (rid, q) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(removed.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256
+FROM d LEFT JOIN removed USING (rid) LEFT JOIN kept USING (rid)
+"""
+TWINS["op4_passage_dedup"] = OP4
