@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that no longer exist."""
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of plans that no longer exist; its cleaner follows the collectors."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

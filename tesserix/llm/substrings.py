@@ -85,12 +85,22 @@ def windows(words: list[bytes], starts: np.ndarray) -> np.ndarray:
 
 def repeats(hashes: np.ndarray) -> np.ndarray:
     """Which rows equal an earlier one."""
-    _, first = np.unique(hashes, axis=0, return_index=True) if len(hashes) else (None, np.zeros(0, int))
+    if len(np.unique(hashes[:, 0])) == len(hashes):
+        return np.zeros(len(hashes), bool)
+    _, first = np.unique(hashes, axis=0, return_index=True)
     out = np.ones(len(hashes), bool)
     out[first] = False
     return out
 
 
+def own_repeats(words: list[bytes]) -> np.ndarray:
+    """Starts of windows that begin earlier in the same document; whole windows are hashed only if an anchor repeats."""
+    _, h = anchors(words)
+    if len(np.unique(h)) == len(h):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(repeats(windows(words, np.arange(len(words) - SPAN + 1))))
+
+
 def _key(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -107,13 +117,13 @@ def kept_words(words: list[bytes], starts: np.ndarray) -> list[bytes]:
 
 
 def _summaries(docs: DataFrame) -> DataFrame:
-    """One small row a document: words, digest of the words, whether it repeats a window itself."""
+    """One small row a document: words, digest of the words, whether it repeats an anchor itself."""
 
     def make():
         def each(did, text) -> Iterator[tuple]:
             words = words_of(text)
-            own = len(words) > SPAN and bool(repeats(windows(words, np.arange(len(words) - SPAN + 1))).any())
-            yield did, len(words), _key(words), own
+            _, h = anchors(words)
+            yield did, len(words), _key(words), len(np.unique(h)) < len(h)
 
         return each
 
@@ -199,8 +209,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
             words = words_of(text)
             if _short(_key(words)) == k:
                 gone = set(starts or ())
-                if len(words) > SPAN:
-                    gone.update(np.flatnonzero(repeats(windows(words, np.arange(len(words) - SPAN + 1)))).tolist())
+                gone.update(own_repeats(words).tolist())
                 if gone:
                     kept = kept_words(words, np.array(sorted(gone)))
                     yield did, _key(words), len(words) - len(kept), _key(kept)
