@@ -25,3 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return fn
 
     return add
+
+
+# The modules register themselves.
+from tesserix.plans import analytics, content, relational  # noqa: E402, F401
