@@ -166,7 +166,7 @@ def graph_coupling(spark, sf):
     return G.coupling(hops(spark, sf))
 
 
-@register("graph_blast_radius", f"""WITH RECURSIVE {HOPS}, d AS (SELECT DISTINCT src, dst FROM hop), r(node, depth) AS (SELECT min(dst), 0 FROM d UNION SELECT d.src, r.depth + 1 FROM r JOIN d ON d.dst = r.node WHERE r.depth < 40)
+@register("graph_blast_radius", f"""WITH RECURSIVE {HOPS}, d AS (SELECT DISTINCT src, dst FROM hop), r(node, depth) AS (SELECT node, 0 FROM (SELECT min(dst) AS node FROM d) WHERE node IS NOT NULL UNION SELECT d.src, r.depth + 1 FROM r JOIN d ON d.dst = r.node WHERE r.depth < 40)
 SELECT node, min(depth)::BIGINT AS depth, min(depth) = 1 AS direct FROM r GROUP BY node""")
 def graph_blast_radius(spark, sf):
     """Everything that reaches the least target of an edge, with its distance."""
