@@ -126,21 +126,22 @@ def compile_rules(m: Column, rules: tuple = RULES) -> Column:
     return F.array_compact(F.array(*tests))
 
 
-def _judged(docs: DataFrame, rules: tuple) -> tuple[DataFrame, Column, Column]:
-    m = F.col("_m")
-    with_counts = docs.withColumn("_m", measures(F.col("text")))
-    base = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
-    return with_counts, base, compile_rules(m, rules)
+def _base_failed(m: Column) -> Column:
+    return (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
 
 
 def assess(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
     """One row per document: counts, base_failed, failed_rules, kept."""
-    df, base, failed = _judged(docs.select("doc_id", "text"), rules)
-    out = df.select("doc_id", "_m.n_words", "_m.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.n_repeat_words", base.alias("base_failed"), failed.alias("failed_rules"))
+    m = F.col("_m")
+    df = docs.select("doc_id", measures(F.col("text")).alias("_m"))
+    out = df.select("doc_id", "_m.n_words", "_m.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.n_repeat_words", _base_failed(m).alias("base_failed"), compile_rules(m, rules).alias("failed_rules"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
 def keep_clean(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """The documents that pass, columns unchanged."""
-    df, base, failed = _judged(docs, rules)
-    return df.filter(~base & (F.size(failed) == 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that pass, columns unchanged.
+
+    The verdict is one expression that binds the counts once: a filter on a counted column would be pushed below
+    the projection and count anew for every rule.
+    """
+    return docs.filter(let(measures(F.col("text")), lambda m: ~_base_failed(m) & (F.size(compile_rules(m, rules)) == 0)))
