@@ -28,4 +28,4 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 # The modules register themselves.
-from tesserix.plans import analytics, content, relational  # noqa: E402, F401
+from tesserix.plans import analytics, content, relational, upkeep  # noqa: E402, F401
