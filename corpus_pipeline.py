@@ -1,4 +1,4 @@
-"""Corpus pipeline: quality rules, SimHash near-dedup, decontamination, PII redaction, packing.
+"""Corpus pipeline: quality rules, near-dedup, decontamination, PII redaction, packing.
 
 Each stage takes the documents that its predecessor kept, written as Parquet and read again.
 """
@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserix.llm import decontam, packing, pii, quality, simhash
+from tesserix.llm import decontam, neardup, packing, pii, quality
 from tesserix.llm.common import read, shared_dir
 from tesserix.llm.queries import tokenizer_path
 
@@ -19,9 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_clean(docs)
 
 
-def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id stays."""
-    return simhash.keep_one(docs)
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document of the least id stays."""
+    return neardup.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +41,13 @@ def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality_rules", quality_rules),
-    ("simhash_near_dedup", simhash_near_dedup),
+    ("near_dedup", near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
     ("pii_redaction", pii_redaction),
     ("token_packing", token_packing),
 ]
 
-#: Fingerprints, trees and token ids are beyond SQL; tests/llm holds a brute-force twin.
+#: Signatures, trees and token ids are beyond SQL; tests/llm holds a brute-force twin.
 ORACLE_SQL = None
 
 
