@@ -34,11 +34,78 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
 
 
-def nearest(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """The k rows closest to one query row (vec_id, embedding); a broadcast of that one row, exact."""
-    q = query.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q")).limit(1)
-    scored = vectors.join(F.broadcast(q)).filter("vec_id <> query_id").select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("_q")), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "vec_id").limit(k)
+#: Queries that travel to the tasks at once, and vectors scored against them at once.
+QUERY_BLOCK, VECTOR_CHUNK = 4096, 512
+
+
+def _units(rows: list, dim: int):
+    """Rows over their norms; a norm of zero leaves zeros."""
+    import numpy as np
+
+    m = np.array(rows, np.float64).reshape(len(rows), dim)
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _block_top(vectors: DataFrame, block: list[tuple[int, int, list[float]]], k: int) -> DataFrame:
+    """_q, query_id, vec_id, score: the k best of each task for each query of a block (number, id, embedding) of one dimension."""
+    dim = len(block[0][2])
+    shared = vectors.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        ids = np.array([i for _, i, _ in shared.value], np.int64)
+        queries = _units([e for _, _, e in shared.value], dim).T
+        floor = np.full(len(ids), -np.inf)
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for batch in batches:
+            for at in range(0, batch.num_rows, VECTOR_CHUNK):
+                part = batch.slice(at, VECTOR_CHUNK)
+                rows = [(i, e) for i, e in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if i is not None and e is not None and len(e) == dim and None not in e]
+                if not rows:
+                    continue
+                vec = np.array([i for i, _ in rows], np.int64)
+                score = np.round(_units([e for _, e in rows], dim) @ queries, 6) + 0.0
+                v, q = np.nonzero((score >= floor) & (vec[:, None] != ids))
+                q, i, s = (np.concatenate(x) for x in zip(best, (q, vec[v], score[v, q])))
+                order = np.lexsort((i, -s, q))
+                q, i, s = q[order], i[order], s[order]
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                last = rank == k - 1
+                floor[q[last]] = s[last]
+                best = tuple(x[rank < k] for x in (q, i, s))
+        numbers = np.array([n for n, _, _ in shared.value], np.int64)
+        q, i, s = best
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[q]), pa.array(ids[q]), pa.array(i), pa.array(s)], names=["_q", "query_id", "vec_id", "score"])
+
+    return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "_q long, query_id long, vec_id long, score double")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k rows closest to each row of queries (vec_id, embedding), exact; a row is not its own neighbour.
+
+    Queries travel in blocks of at most QUERY_BLOCK rows of one dimension, one pass over the vectors each; a task holds the k best so far
+    of its block. Rows without an id or an embedding, and vectors of another dimension than the query's, are not scored.
+    """
+    blocks: dict[int, list] = {}
+    parts: list[DataFrame] = []
+    for n, row in enumerate(queries.select("vec_id", "embedding").toLocalIterator()):
+        if row["vec_id"] is None or not row["embedding"] or None in row["embedding"]:
+            continue
+        block = blocks.setdefault(len(row["embedding"]), [])
+        block.append((n, row["vec_id"], row["embedding"]))
+        if len(block) == QUERY_BLOCK:
+            parts.append(_block_top(vectors, blocks.pop(len(row["embedding"])), k))
+    parts += [_block_top(vectors, b, k) for b in blocks.values()]
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    place = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "vec_id"))
+    return out.withColumn("_place", place).filter(F.col("_place") <= k).select("query_id", "vec_id", "score")
 
 
 def fuse(rankings: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:

@@ -114,10 +114,21 @@ def minhash_signatures(spark, sf):
 SELECT query_id, vec_id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[])), 6) AS score
 FROM embeddings, q WHERE vec_id <> query_id ORDER BY score DESC, vec_id LIMIT 20""")
 def vector_top_k(spark, sf):
+    """One query, the row of the least id; vector_top_k_queries takes the whole query set."""
     e = table(spark, sf, "embeddings")
     return R.nearest(e, e.orderBy("vec_id").limit(1), 20)
 
 
+@register("vector_top_k_queries", """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[])), 6) AS score
+FROM embeddings, q WHERE vec_id <> query_id)
+SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""")
+def vector_top_k_queries(spark, sf):
+    """Every row whose id is divisible by 100 as a query against all rows."""
+    e = table(spark, sf, "embeddings")
+    return R.nearest(e, e.filter("vec_id % 100 = 0"), 20)
+
+
 _TERMS = ["the", "token", "worthless", "was"]
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
 _BM = f"""d AS (SELECT doc_id, {_TOK} AS t FROM documents), f AS (SELECT doc_id, len(t) AS l, {", ".join(f"len(list_filter(t, lambda x: x = '{q}')) AS tf{i}" for i, q in enumerate(_TERMS))} FROM d),
