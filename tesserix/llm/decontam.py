@@ -12,7 +12,8 @@ block is one pass, and the hits of a document meet in an aggregate on its row. D
 with their text.
 
 Defined results: null or word-less texts have no words and no hits, and such items never occur;
-items with the same id count once; rows that repeat a doc_id are judged
+items with the same id count once, and those with a null id as one item, whose words are hits like any
+other and whose id is left out of the digest; rows that repeat a doc_id are judged
 alone; empty tables give no rows or no hits; extra columns are ignored.
 """
 
@@ -100,7 +101,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[objec
     block, size = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         words = tokens(row["text"])
-        if not words or row["item_id"] is None:
+        if not words:
             continue
         block.append((row["item_id"], words))
         size += len(words)
@@ -121,7 +122,7 @@ def _probe(docs: DataFrame, block, gram: int) -> DataFrame:
         def each(row_id, doc_id, text):
             words = tokens(text)
             spans, found = _hits(words, index)
-            yield row_id, doc_id, len(words), [[a, b] for a, b in spans], sorted(map(str, found))
+            yield row_id, doc_id, len(words), [[a, b] for a, b in spans], sorted(str(i) for i in found if i is not None) + [None] * (None in found)
 
         return each
 
@@ -129,7 +130,7 @@ def _probe(docs: DataFrame, block, gram: int) -> DataFrame:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted ids of occurring items), contaminated."""
+    """doc_id, n_words, n_hit, items (sorted ids of occurring items, then a null for those without), contaminated."""
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
     parts = [_probe(rows, block, gram) for block in _blocks(benchmark, block_words)]
     out = parts[0]
