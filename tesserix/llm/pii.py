@@ -1,7 +1,7 @@
 """Personal data: base patterns, and boosted trees over high-recall candidates.
 
 Base spans (email, ip, card, phone) always stand. Besides, generators of high recall propose
-spans that may overlap: grouped digits (phones without a plus, national ids), account numbers
+spans that may overlap: grouped digits (every sub-run of 7 to 15 digits: phones without a plus, national ids), account numbers
 with a country code, spelled-out e-mail addresses, colon-separated hardware and network addresses.
 Every candidate becomes a row of format features (digits, groups, separators, checksums) and context
 features (telling words near it, what touches it). Boosted trees, trained here on a synthetic labelled set of
@@ -83,6 +83,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _GROUPED = re.compile(r"(?<![0-9A-Za-z_.+-])\(?[0-9][0-9 ().\-/]{5,}[0-9](?![0-9A-Za-z_])")
+_DIGITS = re.compile(r"[0-9]+")
 _ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _ACCOUNT = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]? ?(?:at|AT) ?[\])]? ?[A-Za-z0-9-]{1,63}(?: ?[\[(]? ?(?:dot|DOT) ?[\])]? ?[A-Za-z]{2,24}){1,3}")
@@ -95,11 +96,24 @@ _WORDS = (
 _CONTEXT = [re.compile(rf"(?i)(?<![a-z])(?:{p})") for p in _WORDS]
 
 
+def _sub_runs(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Spans of 7 to 15 digits from group to group of a run; at most 15 begin at a group."""
+    groups = [m.span() for m in _DIGITS.finditer(text, start, end)]
+    for i, (a, _) in enumerate(groups):
+        n, first = 0, a - (a > start and text[a - 1] == "(")
+        for x, b in groups[i:]:
+            n += b - x
+            if n > 15:
+                break
+            if n >= 7:
+                yield first, b
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, int]]:
     """(kind index, start, end); high recall, may overlap."""
     for m in _GROUPED.finditer(text):
-        if 7 <= sum(c.isdigit() for c in m[0]) <= 15:
-            yield 4, m.start(), m.end()
+        for a, b in _sub_runs(text, m.start(), m.end()):
+            yield 4, a, b
     if "-" in text:
         for m in _ID.finditer(text):
             yield 5, m.start(), m.end()
@@ -119,6 +133,24 @@ def _mod97(s: str) -> bool:
     return n % 97 == 1
 
 
+_BEFORE = re.compile(r"([0-9]+)([ ().\-/]{1,4})$")
+_AFTER = re.compile(r"([ ().\-/]{1,4})([0-9]+)")
+_GAPS = re.compile(r"[^0-9]+")
+
+
+def _joints(text: str, kind: int, a: int, b: int) -> list[float]:
+    """Of grouped digits: the last group but one, widest and different gaps, and how the groups before and after are joined to the span."""
+    if kind != 4:
+        return [0.0] * 9
+    span = text[a:b].lstrip("(")
+    gaps, groups = _GAPS.findall(span), _DIGITS.findall(span)
+    out = [float(len(groups[-2])) if len(groups) > 1 else 0.0, float(max(map(len, gaps), default=0)), float(len(set(gaps)))]
+    left, right = _BEFORE.search(text[max(0, a - 20) : a]), _AFTER.match(text, b, b + 20)
+    for m, digits, gap in ((left, 1, 2), (right, 2, 1)):
+        out += [float(len(m[digits])), float(len(m[gap])), float(m[gap] == gaps[-1]) if gaps else 0.0] if m else [0.0] * 3
+    return out
+
+
 def features(text: str, kind: int, a: int, b: int) -> list[float]:
     span = text[a:b]
     near = text[max(0, a - 40) : a]
@@ -129,14 +161,14 @@ def features(text: str, kind: int, a: int, b: int) -> list[float]:
         float(b - a), float(sum(c.isdigit() for c in span)), float(len(groups)), float(groups[0]), float(groups[-1]), float(max(groups)),
         float(len(seps)), float("." in seps), float("-" in seps), float("(" in seps), float("/" in seps),
         float(kind == 6 and _mod97(span)), float("(" in span or "[" in span), float(" at " in span.lower()),
-        float(span.count(":")), float(span[:1] == "0"),
+        float(span.count(":")), float(span[:1] == "0"), *_joints(text, kind, a, b),
         *(float(bool(p.search(near))) for p in _CONTEXT),
         float(text[a - 1 : a] in "$#€£"if a else 0.0), float(text[b : b + 1] in "%$€£" if b < len(text) else 0.0),
     ]
 
 
-def _training_set(n: int, seed: int) -> list[tuple[str, int]]:
-    """Sentences around one number or address each, and whether it is personal."""
+def _training_set(n: int, seed: int) -> list[tuple[str, int, str]]:
+    """Sentences around one number or address each, whether it is personal, and the number or address."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     h = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
@@ -169,7 +201,30 @@ def _training_set(n: int, seed: int) -> list[tuple[str, int]]:
     for _ in range(n):
         y = int(r.random() < 0.5)
         lead, span = r.choice(good if y else bad)()
-        out.append((f"{word()} {word()} {lead} {span}{r.choice((' ', ', ', '. ', ''))}{word()} ".replace("  ", " "), y))
+        out.append((f"{word()} {word()} {lead} {span}{r.choice((' ', ', ', '. ', ''))}{word()} ".replace("  ", " "), y, span))
+    return out
+
+
+def _lists(n: int, seed: int) -> list[tuple[str, int, tuple[str, ...]]]:
+    """Sentences with several numbers in one run: phones in lists and next to dates, and runs without any."""
+    r = random.Random(seed)
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(3, 8)))
+    shapes = (lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"{d(3)} {d(3)} {d(4)}")
+    date = lambda: r.choice((f"20{d(2)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{r.randint(1, 28):02d}.{r.randint(1, 12):02d}.20{d(2)}", f"{r.randint(1, 12):02d}/{r.randint(1, 28):02d}/20{d(2)}"))
+    out = []
+    for _ in range(n):
+        cue = r.choice(("call", "phone", "tel:", "fax", "cell", "dial"))
+        if r.random() < 0.7:
+            shape = r.choice(shapes)
+            phones = tuple(shape() for _ in range(r.choice((1, 2, 2, 3))))
+            run = r.choice((" / ", "/", " - ", " ") if shape is not shapes[3] else (" / ", " - ")).join(phones)
+            if len(phones) == 1 or r.random() < 0.3:
+                run = f"{date()} {run}" if r.random() < 0.6 else f"{run} {date()}"
+            out.append((f"{word()} {cue} {run} {word()} ", 1, phones))
+        else:
+            run = r.choice((lambda: f"{date()} {date()}", lambda: f"{date()} - {date()}", lambda: " ".join(d(4) for _ in range(r.randint(4, 8))), lambda: f"{date()} {d(2)}-{d(2)}", lambda: " ".join(d(r.randint(1, 5)) for _ in range(8))))()
+            out.append((f"{word()} {r.choice(('date', 'order', 'from', word()))} {run} {word()} ", 0, ()))
     return out
 
 
@@ -177,12 +232,13 @@ def _training_set(n: int, seed: int) -> list[tuple[str, int]]:
 def model() -> tuple[Boosted, tuple[float, ...]]:
     """The trees, and a threshold for each added kind."""
     rows, y, kinds = [], [], []
-    for text, label in _training_set(3000, 17):
+    for text, label, spans in [(t, y, (span,)) for t, y, span in _training_set(3000, 17)] + _lists(900, 18):
         base = base_spans(text)
         for k, a, b in candidates(text):
             if not any(x < b and a < z for _, x, z in base):
                 rows.append(features(text, k, a, b))
-                y.append(label)
+                # Of the sub-runs of a run only whole numbers are personal.
+                y.append(label * int(k != 4 or text[a:b] in spans))
                 kinds.append(k)
     x, y, kinds = np.array(rows), np.array(y, float), np.array(kinds)
     held = np.arange(len(y)) % 3 == 0
