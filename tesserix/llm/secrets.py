@@ -1,10 +1,10 @@
 """Secret scan: three base patterns, and an assignment-aware lexer on top.
 
 The lexer reads source and configuration syntax: at every = or : it parses a target name to
-the left (bare, quoted, dotted, dashed) and an expression to the right (quoted or bare
+the left (bare, quoted, dotted, dashed, or with a type after a colon) and an expression to the right (quoted or bare
 literals, names, joined by +). Names that were bound earlier in the text stand for their literals, so
 constants propagate through any number of assignments. A literal is scored by how sensitive the
-names that it reaches are and by how much it looks like key material; from SCORE on it is a
+names that it reaches are and by how much it, or the value that it is joined into, looks like key material; from SCORE on it is a
 span of kind "literal", unless a base span already holds it.
 
 Defined results: a null text is an empty one; repeated rows are scanned alone; an empty table gives no
@@ -33,7 +33,10 @@ _HINTS = (b"password", b"passwd", b"secret", b"token", b"api")
 NAME_MAX = 100
 SCORE = 0.6
 LEAST_CHARS = 8
-_NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)["']?\]?\x20*:?$""")
+_NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)["']?\]?[\x20\t]*:?$""")
+#: A name with a type, as in "key: Optional[str]", "key?: string | null" or "key: Map<a, b>".
+_TYPED = re.compile(r"([A-Za-z_][A-Za-z0-9_.]*)\??[\x20\t]*:[\x20\t]*([A-Za-z_&][A-Za-z0-9_.]*(?:[\[<][A-Za-z0-9_., \[\]<>|]*[\]>]|\[\])?(?:[\x20\t]*\|[\x20\t]*[A-Za-z0-9_.\[\]]+)*)[\x20\t]*$")
+_TYPES = frozenset("any bytes bytearray char final none null object optional str string text undefined union".split())
 _BARE = re.compile(r"[A-Za-z0-9_./+@~$%^&*!-]+={0,2}")
 _IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*$")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -76,7 +79,7 @@ def _expression(text: str, at: int) -> list[tuple[str, int, int]]:
     """Terms ("literal" or "name", start, end) of the expression at a position of the line."""
     terms, n = [], len(text)
     while True:
-        while at < n and text[at] == " ":
+        while at < n and text[at] in " \t":
             at += 1
         if at >= n:
             return terms
@@ -94,7 +97,7 @@ def _expression(text: str, at: int) -> list[tuple[str, int, int]]:
             at = m.end()
         else:
             return terms
-        while at < n and text[at] == " ":
+        while at < n and text[at] in " \t":
             at += 1
         if at >= n or text[at] != "+":
             return terms
@@ -106,24 +109,27 @@ def lexed(text: str) -> list[tuple[int, int, float]]:
     bound: dict[str, list[tuple[int, int]]] = {}
     best: dict[tuple[int, int], float] = {}
     for m in re.finditer(r"[=:]", text):
-        left = _NAME.search(text[max(0, m.start() - NAME_MAX) : m.start()])
-        if not left or text[m.end() : m.end() + 2] == "//":
+        before = text[max(0, m.start() - NAME_MAX) : m.start()]
+        left = _NAME.search(before)
+        typed = _TYPED.search(before) if m[0] == "=" and ":" in before else None
+        if not (left or typed) or text[m.end() : m.end() + 2] == "//":
             continue
         at = m.end() + (text[m.end() : m.end() + 1] in ("=", ">"))
-        name, literals = left[1], []
+        names, literals = [x[1] for x in (typed, left) if x and not (typed and x is left and left[1].lower() in _TYPES)], []
+        sensitive = max(map(name_score, names))
         for kind, a, b in _expression(text, at):
             if kind == "literal":
                 literals.append((a, b))
             else:
                 known = bound.get(text[a:b]) or bound.get(text[a:b].rpartition(".")[2])
-                literals += known if known else [(a, b)] if not known and name_score(name) >= 0.9 and re.search("[0-9]", text[a:b]) else []
+                literals += known if known else [(a, b)] if not known and sensitive >= 0.9 and re.search("[0-9]", text[a:b]) else []
         if not literals:
             continue
-        bound[name] = literals
-        sensitive = name_score(name)
+        bound.update(dict.fromkeys(names, literals))
         if sensitive:
+            joined = literal_score("".join(text[a:b] for a, b in literals))
             for a, b in literals:
-                s = sensitive * literal_score(text[a:b])
+                s = sensitive * max(joined, literal_score(text[a:b]))
                 if s > best.get((a, b), 0.0):
                     best[(a, b)] = s
     return sorted((a, b, s) for (a, b), s in best.items() if s >= SCORE)
