@@ -12,6 +12,7 @@ from tesserix.operators import retrieval as R
 from tesserix.operators import text as T
 from tesserix.plans.base import EVENTS, HOPS, hops
 from tesserix.plans.registry import register
+from tesserix.shared import shared_dir
 from tesserix.sources import table
 from tesserix.streaming import refold
 
@@ -227,11 +228,6 @@ def graph_topology(spark, sf):
 @register("stream_refold", f"WITH {EVENTS} SELECT user_id, day, count(*) AS n, sum(cents)::BIGINT AS cents FROM e GROUP BY 1, 2")
 def stream_refold(spark, sf):
     """The event files as a stream; the folded table equals the batch query."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserix-"))
-    top = f"{sc.getCheckpointDir()}/refold-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/refold-{uuid.uuid4().hex}"
     # A pattern, as a stream's source is a folder or a pattern, and the table may be one file.
     return refold.stream_fold(spark, f"{sf}/events.parque[t]", f"{top}/table", f"{top}/progress")
