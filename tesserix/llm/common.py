@@ -1,15 +1,16 @@
-"""Shared pieces: table access, cutting lineage in the shared folder, let-bindings."""
+"""Shared pieces: table access and let-bindings; cutting lineage comes from tesserix.shared."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserix.shared import Scratch, cut, shared_dir
+
+__all__ = ["SPACES", "Scratch", "cut", "let", "read", "salted", "shared_dir", "words"]
+
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -18,28 +19,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only a session that names none (tests) gets its own."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserix-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder: no part of the plan above runs again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that no longer exist; its cleaner follows the collectors."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once a row: a lambda over a one-element array."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -47,7 +26,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """Maximal runs of non-space characters; null has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
 def salted(df: DataFrame) -> int:

@@ -4,8 +4,8 @@ Every metric is a Column over three arrays that are built once a row (words, lin
 five-word windows) and bound by lambdas. RULES names a metric, a lower and an upper bound;
 the verdict is the conjunction of the bounds, and failed_rules lists those that don't hold.
 
-Repeated windows are found by sorting (hash, position) pairs of the one text; positions whose
-hash neighbours are equal are compared word by word, so a hash collision can't add a hit.
+Repeated windows are found by sorting half a hash and the position of each window of the one text as one number. Those that
+share half a hash are sorted again by their words, so a hash collision neither adds nor hides a hit.
 
 Defined results: a null or empty text has no words and fails; rows that repeat are judged
 alone; an empty table gives no rows; extra columns are ignored by assess() and kept by
@@ -14,6 +14,8 @@ keep_clean(). The cost of a text is n log n in its words, whatever it repeats.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,57 +51,48 @@ def _repeated_words(w: Column, n: int = WINDOW) -> Column:
             lambda s: s["sum"],
         )
 
-    def same(a: Column, b: Column) -> Column:
-        return (a["h"] == b["h"]) & (F.slice(w, a["p"], n) == F.slice(w, b["p"], n))
-
-    def positions(hashes: Column) -> Column:
-        pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("p"))))
-        return let(
-            pairs,
-            lambda s: F.array_sort(
-                F.transform(
-                    F.filter(
-                        F.transform(
-                            s,
-                            lambda x, i: F.struct(
-                                x["p"].alias("p"),
-                                (((i > 0) & same(x, F.get(s, F.greatest(i - 1, F.lit(0))))) | same(x, F.coalesce(F.get(s, i + 1), F.struct((x["h"] + 1).alias("h"), x["p"].alias("p"))))).alias("hit"),
-                            ),
-                        ),
-                        lambda x: x["hit"],
-                    ),
-                    lambda x: x["p"],
-                )
-            ),
-        )
+    def beside(s: Column, same: Callable[[Column, Column], Column]) -> Column:
+        """The members of a sorted array that are the same as a neighbour; past either end there is none."""
+        return F.filter(s, lambda x, i: F.coalesce((i > 0) & same(x, F.get(s, F.greatest(i - 1, F.lit(0)))), F.lit(False)) | F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)))
+
+    def windows(h: Column) -> Column:
+        """A window's hash in the upper half of a number, its position (from 0) in the lower."""
+        return F.transform(F.slice(h, 1, F.size(h) - n + 1), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, n)]).bitwiseAND(F.lit(-1 << 32)).bitwiseOR(i.cast("long")))
+
+    def exact(maybe: Column) -> Column:
+        """Positions (from 1) of the windows that are equal word by word, of those that share half a hash."""
+        spelled = F.transform(maybe, lambda x: let(x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int") + 1, lambda p: F.struct(F.slice(w, p, n).alias("g"), p.alias("p"))))
+        return let(F.sort_array(spelled), lambda s: F.sort_array(F.transform(beside(s, lambda a, b: a["g"] == b["g"]), lambda x: x["p"])))
 
-    def count(hashes: Column) -> Column:
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(covered(positions(hashes)))
+    def count(packed: Column) -> Column:
+        maybe = beside(packed, lambda a, b: F.shiftright(a, 32) == F.shiftright(b, 32))
+        return let(maybe, lambda m: F.when(F.size(m) == 0, F.lit(0)).otherwise(covered(exact(m))))
 
-    window = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
-    return F.when(F.size(w) < n + 1, F.lit(0)).otherwise(let(window, count)).cast("long")
+    hashed = F.transform(w, lambda x: F.xxhash64(x))
+    return F.when(F.size(w) < n + 1, F.lit(0)).otherwise(let(hashed, lambda h: let(F.sort_array(windows(h)), count))).cast("long")
 
 
 def measures(text: Column) -> Column:
     """A struct of counts of one text."""
     body = F.coalesce(text, F.lit(""))
 
-    def of(w: Column, lines: Column) -> Column:
-        plain = F.array_join(w, "")
+    def of(w: Column, lines: Column, marks: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.length(plain).cast("long").alias("word_chars"),
-            F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.length(F.regexp_replace(marks, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             _repeated_words(w).alias("n_repeat_words"),
             F.size(lines).cast("long").alias("n_lines"),
-            F.length(F.regexp_replace(body, r"[^!?]+", "")).cast("long").alias("n_shouts"),
-            F.length(F.regexp_replace(body, r"\P{Lu}+", "")).cast("long").alias("n_upper"),
+            F.length(F.regexp_replace(marks, r"[^!?]+", "")).cast("long").alias("n_shouts"),
+            F.length(F.regexp_replace(marks, r"\P{Lu}+", "")).cast("long").alias("n_upper"),
             F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         )
 
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return let(words(text), lambda w: let(lines, lambda x: of(w, x)))
+    # What the three character counts look at, taken out of the text in one pass.
+    marks = F.regexp_replace(body, r"[^#*$%&|<>!?\p{Lu}]+", "")
+    return let(words(text), lambda w: let(lines, lambda x: let(marks, lambda m: of(w, x, m))))
 
 
 def ratios(m: Column) -> dict[str, Column]:

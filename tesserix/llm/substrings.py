@@ -12,15 +12,16 @@ Documents of equal words are one content: their least id stands for all in both
 everything (or, under SPAN words, nothing) without another look. No pair is ever formed: groups
 meet only in aggregates and in joins against one row a group.
 
-Defined results: a null text has no words; a null doc_id counts as the smallest; rows that repeat a doc_id never
-take words from each other, as neither is smaller; an empty table gives no rows; extra columns are
-ignored. Two different windows are taken for one with a chance of 2^-128 a pair.
+Defined results: a null text has no words; a null doc_id counts as the smallest, as the least long does, and comes back as it
+was; rows that repeat a doc_id never take words from each other, as neither is smaller; an empty table gives no rows; extra
+columns are ignored. Contents are told apart by 64 bits of SHA-256 where anchors are counted and by all of it elsewhere. Two
+different windows share their 128 bits with a chance of about 2^-115 a pair: each half is a polynomial modulo 2^64 over
+64-bit hashes of the words, whose lowest bits don't depend on the order of the words.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,8 +29,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserix.llm.common import cut, release, shared_dir
-from tesserix.llm.textmap import map_texts
+from tesserix.llm.common import Scratch
+from tesserix.llm.textmap import map_batches, map_texts, slices
 
 SPAN = 20
 PERIOD = 13
@@ -38,6 +39,8 @@ COVER = (0, 1, 3, 9)
 ANCHOR = SPAN - PERIOD + 1
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _LEAST = -(1 << 63)
+#: Windows of an output batch, about.
+ROWS = 50_000
 
 
 @lru_cache(maxsize=4)
@@ -68,8 +71,9 @@ def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     data = np.frombuffer(b" ".join(words), np.uint8).astype(np.uint64) + np.uint64(0x1F3D5B79)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    at = np.arange(n - ANCHOR + 1)
-    at = at[np.isin(at % PERIOD, COVER)]
+    last = n - ANCHOR
+    at = (np.arange(0, last + 1, PERIOD)[:, None] + np.array(COVER)).ravel()
+    at = at[at <= last]
     begin = np.concatenate([[0], ends[:-1] + 1])
     mixed = _runs(data, begin[at], ends[at + ANCHOR - 1], 0)
     return at, (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
@@ -117,42 +121,28 @@ def kept_words(words: list[bytes], starts: np.ndarray) -> list[bytes]:
 
 
 def _summaries(docs: DataFrame) -> DataFrame:
-    """One small row a document: words, digest of the words, whether it repeats an anchor itself."""
-
-    def make():
-        def each(did, text) -> Iterator[tuple]:
-            words = words_of(text)
-            _, h = anchors(words)
-            yield did, len(words), _key(words), len(np.unique(h)) < len(h)
-
-        return each
-
-    return map_texts(docs, "did long, n_words long, digest string, own boolean", make, ("did", "text"))
-
-
-def _anchors(docs: DataFrame) -> DataFrame:
-    """h, k (content), p: an anchor each; written in columns, as there are many."""
+    """One row a document: doc_id, did, words, digest of the words, k (short digest), whether it repeats an anchor itself, its anchors in order."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            hs, ks, ps, rows = [], [], [], 0
-            for text in batch.column(0).to_pylist():
+        for part in slices(batches):
+            rows, flat, ends = [], [], [0]
+            for text in part.column(2).to_pylist():
                 words = words_of(text)
-                p, h = anchors(words)
-                if len(p):
-                    hs.append(h)
-                    ps.append(p)
-                    ks.append(np.full(len(p), _short(_key(words)), np.int64))
-                    rows += len(p)
-                if rows >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ks, ps)], names=["h", "k", "p"])
-                    hs, ks, ps, rows = [], [], [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ks, ps)], names=["h", "k", "p"])
+                _, h = anchors(words)
+                digest = _key(words)
+                rows.append((len(words), digest, _short(digest), len(np.unique(h)) < len(h)))
+                flat.append(h)
+                ends.append(ends[-1] + len(h))
+            n, digest, k, own = zip(*rows)
+            hs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(digest), pa.array(k, pa.int64()), pa.array(own), hs],
+                names=["doc_id", "did", "n_words", "digest", "k", "own", "hs"],
+            )
 
-    return docs.select("text").mapInArrow(run, "h long, k long, p long")
+    return map_batches(docs.select("doc_id", "did", "text"), run, "doc_id long, did long, n_words long, digest string, k long, own boolean, hs array<long>")
 
 
 def _starts(marks: list[int], n: int) -> np.ndarray:
@@ -170,62 +160,82 @@ def _windows(work: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for did, text, k, marks in zip(*(batch.column(c).to_pylist() for c in range(4))):
+        def made(found):
+            h, did, s = (np.concatenate(x) for x in zip(*found))
+            return pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(did), pa.array(s)], names=["h1", "h2", "did", "s"])
+
+        found, rows = [], 0
+        for part in slices(batches):
+            for did, text, k, marks in zip(*(part.column(c).to_pylist() for c in range(4))):
                 words = words_of(text)
                 starts = _starts(marks or [], len(words))
                 if len(starts) and _short(_key(words)) == k:
                     h = windows(words, starts)
                     first = ~repeats(h)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[first, 0]), pa.array(h[first, 1]), pa.array(np.full(int(first.sum()), did, np.int64)), pa.array(starts[first])], names=["h1", "h2", "did", "s"])
+                    found.append((h[first], np.full(int(first.sum()), did, np.int64), starts[first]))
+                    rows += len(starts)
+                if rows >= ROWS:
+                    yield made(found)
+                    found, rows = [], 0
+        if found:
+            yield made(found)
 
-    return work.select("did", "text", "k", "marks").mapInArrow(run, "h1 long, h2 long, did long, s long")
+    return map_batches(work.select("did", "text", "k", "marks"), run, "h1 long, h2 long, did long, s long")
 
 
-def dedup_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256."""
-    spark = docs.sparkSession
-    ids = docs.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("did"), "text")
-    base = cut(_summaries(ids))
-    contents = cut(base.groupBy("digest").agg(F.min("did").alias("least"), F.max("n_words").alias("n"), F.max("own").alias("own")))
-
-    shared = cut(_anchors(ids).groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("h"))
-    release(spark)
-    marks = _anchors(ids).join(shared, "h", "left_semi").groupBy("k").agg(F.collect_set("p").alias("marks"))
-    short = contents.filter(F.col("n") >= SPAN).select("least", "own", F.conv(F.concat(*[F.substring("digest", 15 - 2 * i, 2) for i in range(8)]), 16, -10).cast("long").alias("k"))
-    chosen = cut(short.join(marks, "k", "left").filter(F.col("marks").isNotNull() | F.col("own")).select(F.col("least").alias("_did"), "k", "marks"))
-    release(spark)
-
-    path = f"{shared_dir(spark)}/passages-{uuid.uuid4().hex}"
-    ids.join(chosen, ids["did"] == chosen["_did"]).select("did", "text", "k", "marks").write.parquet(path)
-    release(spark)
-    work = spark.read.schema("did long, text string, k long, marks array<long>").parquet(path)
-    known = cut(_windows(work).groupBy("h1", "h2").agg(F.min("did").alias("least"), F.max("did").alias("most")).filter("least < most").select("h1", "h2", "least"))
-    release(spark)
-    later = _windows(work).join(known, ["h1", "h2"]).filter("did > least").groupBy("did").agg(F.collect_set("s").alias("starts"))
+def _changes(work: DataFrame) -> DataFrame:
+    """did, digest, n_removed, kept (digest of the kept words) of the documents that lose words."""
 
     def make():
         def each(did, text, k, starts) -> Iterator[tuple]:
             words = words_of(text)
-            if _short(_key(words)) == k:
+            digest = _key(words)
+            if _short(digest) == k:
                 gone = set(starts or ())
                 gone.update(own_repeats(words).tolist())
                 if gone:
                     kept = kept_words(words, np.array(sorted(gone)))
-                    yield did, _key(words), len(words) - len(kept), _key(kept)
+                    yield did, digest, len(words) - len(kept), _key(kept)
 
         return each
 
-    changed = cut(map_texts(work.join(later, "did", "left"), "did long, digest string, n_removed long, kept string", make, ("did", "text", "k", "starts")).distinct())
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return map_texts(work, "did long, digest string, n_removed long, kept string", make, ("did", "text", "k", "starts"))
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256.
+
+    Anchors and windows are hashed once each and stand in the shared folder while the two looks at them (which repeat, and
+    where those stand) are taken; both tables go before the result is returned.
+    """
+    ids = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LEAST)).alias("did"), "text")
+    scratch = Scratch(docs.sparkSession, "passages")
+    found = scratch.keep(_summaries(ids), "anchors")
+    base = scratch.keep(found.select("doc_id", "did", "n_words", "digest"), "base")
+    contents = scratch.keep(found.groupBy("digest").agg(F.min("did").alias("least"), F.max("n_words").alias("n"), F.max("own").alias("own"), F.max("k").alias("k")), "contents")
+
+    each = found.select("k", F.posexplode("hs").alias("i", "h"))
+    shared = scratch.keep(each.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("h"), "shared")
+    marks = each.join(shared, "h", "left_semi").groupBy("k").agg(F.collect_set("i").alias("at"))
+    # The i-th anchor of a document stands at a place that only i decides.
+    place = F.transform("at", lambda i: (F.floor(i / len(COVER)) * PERIOD + F.element_at(F.array(*map(F.lit, COVER)), (i % len(COVER) + 1).cast("int"))).cast("long"))
+    chosen = contents.filter(F.col("n") >= SPAN).select("least", "own", "k").join(marks.select("k", place.alias("marks")), "k", "left")
+    chosen = scratch.keep(chosen.filter(F.col("marks").isNotNull() | F.col("own")).select(F.col("least").alias("_did"), "k", "marks"), "chosen")
+    scratch.drop("anchors", "shared")
+
+    work = scratch.keep(ids.join(chosen, ids["did"] == chosen["_did"]).select("did", "text", "k", "marks"), "work")
+    seen = scratch.keep(_windows(work), "windows")
+    known = scratch.keep(seen.groupBy("h1", "h2").agg(F.min("did").alias("least"), F.max("did").alias("most")).filter("least < most").select("h1", "h2", "least"), "known")
+    later = scratch.keep(seen.join(known, ["h1", "h2"]).filter("did > least").groupBy("did").agg(F.collect_set("s").alias("starts")), "later")
+    scratch.drop("windows", "known")
+    changed = scratch.keep(_changes(work.select("did", "text", "k").join(later, "did", "left")).distinct(), "changed")
+    scratch.drop("work", "later", "chosen")
 
     out = base.join(contents.select(F.col("digest").alias("_d"), "least"), base["digest"] == F.col("_d")).drop("_d")
     out = out.join(changed.select(F.col("did").alias("_c"), F.col("digest").alias("_e"), "n_removed", "kept"), (out["did"] == F.col("_c")) & (out["digest"] == F.col("_e")), "left")
     copy = (F.col("did") > F.col("least")) & (F.col("n_words") >= SPAN)
     return out.select(
-        F.when(F.col("did") != _LEAST, F.col("did")).alias("doc_id"), "n_words",
+        "doc_id", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "digest")).alias("kept_sha256"),
     )

@@ -18,7 +18,8 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_WORDS = 800_000
+#: Words whose ids a worker keeps; when they are full, the next text starts anew, so frequent words are soon back.
+CACHE_WORDS = 100_000
 _SHAPE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 _ALL = [chr(c) for c in range(0x250) if chr(c) in _SPACE or unicodedata.category(chr(c)) != "Cc"]
@@ -71,10 +72,12 @@ class WordIds:
         except KeyError:
             new = list({p for p in pieces if p not in cache})
         ids = self._of_words(new)
-        if len(cache) < CACHE_WORDS:
+        data = b"".join([cache[p] if p in cache else ids[p] for p in pieces])
+        if len(cache) + len(ids) > CACHE_WORDS:
+            cache.clear()
+        if len(ids) <= CACHE_WORDS:
             cache.update(ids)
-            return b"".join([cache[p] for p in pieces])
-        return b"".join([cache[p] if p in cache else ids[p] for p in pieces])
+        return data
 
 
 @lru_cache(maxsize=2)
