@@ -6,29 +6,32 @@ is the count of each benchmark token over all documents. A document probes the j
 tokens; the place of the token in the window bounds where the window may start (positional bound) and
 whether it fits (length bound); what is left is verified word by word.
 
-The benchmark is the side that travels: it goes to the tasks in blocks of items of at most
-BLOCK_WORDS words each, so what a task holds is bounded whatever the benchmark's size; each
-block is one pass, and the hits of a document meet in an aggregate on its row. Documents never move
-with their text.
+The benchmark is the side that travels: it goes to the tasks in blocks of BLOCK_WORDS words, one after the other, and a
+longer item is cut into overlapping pieces, so what the driver and a task hold is bounded whatever the benchmark's size. Each
+block is two passes over the documents and leaves the hits of the texts that have any, under the MD5 of the text; the
+hits of all blocks meet in an aggregate on that digest. A verdict depends on the text alone, so rows need no number.
 
 Defined results: null or word-less texts have no words and no hits, and such items never occur;
 items with the same id count once, and those with a null id as one item, whose words are hits like any
 other and whose id is left out of the digest; rows that repeat a doc_id are judged
-alone; empty tables give no rows or no hits; extra columns are ignored.
+alone; empty tables give no rows or no hits; extra columns are ignored by find_contamination() and kept by
+drop_contaminated(), whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserix.llm.textmap import map_texts
+from tesserix.llm.common import cut
+from tesserix.llm.textmap import map_batches, map_texts, slices
 
 GRAM = 13
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
 #: Bytes of words stay (digits, letters, everything past ASCII), A-Z fall to a-z, the rest are gaps.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -51,12 +54,13 @@ def token_counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, i
         import pyarrow as pa
 
         known, seen = shared.value, Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for part in slices(batches):
+            for text in part.column(0).to_pylist():
                 seen.update(w for w in tokens(text) if w in known)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    counts = map_batches(docs.select("text"), run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    shared.destroy()
     return {bytes(r["token"]): r["n"] for r in counts}
 
 
@@ -96,59 +100,79 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """The items, a bounded block at a time; a block ends at block_words words."""
-    block, size = [], 0
+def _blocks(benchmark: DataFrame, block_words: int, gram: int) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """The items, a bounded block at a time; a block ends at block_words words, and so does a piece of an item."""
+    block, size, step = [], 0, max(block_words, gram)
     for row in benchmark.select("item_id", "text").toLocalIterator():
         words = tokens(row["text"])
-        if not words:
-            continue
-        block.append((row["item_id"], words))
-        size += len(words)
-        if size >= block_words:
-            yield block
-            block, size = [], 0
-    yield block
+        for at in range(0, len(words) - gram + 1 if len(words) > step else min(1, len(words)), step):
+            piece = words[at : at + step + gram - 1]
+            block.append((row["item_id"], piece))
+            size += len(piece)
+            if size >= block_words:
+                yield block
+                block, size = [], 0
+    if block:
+        yield block
 
 
 def _probe(docs: DataFrame, block, gram: int) -> DataFrame:
-    vocabulary = frozenset(w for _, words in block for w in words)
-    counts = token_counts(docs, vocabulary) if vocabulary else {}
+    """key, n_words, spans, items of the texts that hold a window of the block."""
+    counts = token_counts(docs, frozenset(w for _, words in block for w in words))
     shared = docs.sparkSession.sparkContext.broadcast(_index(block, counts, gram))
 
     def make():
         index = shared.value
 
-        def each(row_id, doc_id, text):
+        def each(text):
             words = tokens(text)
             spans, found = _hits(words, index)
-            yield row_id, doc_id, len(words), [[a, b] for a, b in spans], sorted(str(i) for i in found if i is not None) + [None] * (None in found)
+            if spans:
+                key = hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+                yield key, len(words), [[a, b] for a, b in spans], sorted(str(i) for i in found if i is not None) + [None] * (None in found)
 
         return each
 
-    return map_texts(docs, "_row long, doc_id long, n_words long, spans array<array<int>>, items array<string>", make, ("_row", "doc_id", "text"))
+    found = cut(map_texts(docs, "key string, n_words long, spans array<array<int>>, items array<string>", make, ("text",)))
+    shared.destroy()
+    return found
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted ids of occurring items, then a null for those without), contaminated."""
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
-    parts = [_probe(rows, block, gram) for block in _blocks(benchmark, block_words)]
-    out = parts[0]
-    if len(parts) > 1:
-        for more in parts[1:]:
-            out = out.union(more)
-        out = out.groupBy("_row").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-            F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
+def _contained(docs: DataFrame, benchmark: DataFrame, gram: int, block_words: int) -> DataFrame:
+    """key, n_words, n_hit, items (sorted, then a null for those without an id) of each text with a hit."""
+    parts = [_probe(docs, block, gram) for block in _blocks(benchmark, block_words, gram)]
+    hits = docs.sparkSession.createDataFrame([], "key string, n_words long, spans array<array<int>>, items array<string>")
+    for part in parts:
+        hits = hits.union(part)
+    # Copies of a text have the same spans of a block, so sets are enough.
+    merged = hits.groupBy("key").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     # Words in the union of the ranges: each adds what lies past the furthest end so far.
     covered = F.aggregate(
         F.array_sort("spans"), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")),
         lambda s, x: F.struct((s["sum"] + F.greatest(F.lit(0), x[1] - F.greatest(x[0], s["end"]))).alias("sum"), F.greatest(s["end"], x[1]).alias("end")),
         lambda s: s["sum"].cast("long"),
     )
-    out = out.select("doc_id", "n_words", covered.alias("n_hit"), "items")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return merged.select("key", "n_words", covered.alias("n_hit"), "items")
+
+
+def _bad(n_hit, n_words):
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted ids of occurring items, then a null for those without), contaminated."""
+    found = _contained(docs, benchmark, gram, block_words).select(F.col("key").alias("_k"), "n_hit", "items")
+
+    def make():
+        def each(doc_id, text):
+            yield doc_id, hashlib.md5((text or "").encode("utf-8", "surrogatepass")).hexdigest(), len(tokens(text))
+
+        return each
+
+    every = map_texts(docs, "doc_id long, key string, n_words long", make)
+    out = every.join(found, every["key"] == found["_k"], "left")
+    n_hit = F.coalesce("n_hit", F.lit(0))
+    return out.select("doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), _bad(n_hit, F.col("n_words")).alias("contaminated"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -158,39 +182,7 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated; each row's verdict is taken in the same pass, so no text is shuffled."""
-    blocks = list(_blocks(benchmark, BLOCK_WORDS))
-    out = docs
-    if len(blocks) == 1:
-        return _drop_one(out, blocks[0])
-    names = docs.columns
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    parts = [_probe(rows, b, GRAM) for b in blocks]
-    hit = parts[0]
-    for more in parts[1:]:
-        hit = hit.union(more)
-    bad = hit.select("_row", "n_words", F.explode("spans").alias("s")).select("_row", "n_words", F.explode(F.sequence(F.col("s")[0], F.col("s")[1] - 1)).alias("p")).distinct().groupBy("_row", "n_words").count().filter("20 * count >= n_words")
-    return rows.join(bad.select("_row"), "_row", "left_anti").select(*[f"`{c}`" for c in names])
-
-
-def _drop_one(docs: DataFrame, block) -> DataFrame:
-    vocabulary = frozenset(w for _, words in block for w in words)
-    counts = token_counts(docs, vocabulary) if vocabulary else {}
-    shared = docs.sparkSession.sparkContext.broadcast(_index(block, counts, GRAM))
-    at = docs.columns.index("text")
-
-    def run(batches):
-        import pyarrow as pa
-
-        index = shared.value
-        for batch in batches:
-            keep = []
-            for text in batch.column(at).to_pylist():
-                words = tokens(text)
-                spans, _ = _hits(words, index)
-                n = sum(b - a for a, b in spans)
-                keep.append(not (n and 20 * n >= len(words)))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents that are not contaminated, columns unchanged. The digests of those that are go to the tasks if Spark knows that they are few."""
+    bad = cut(_contained(docs, benchmark, gram, block_words).filter(_bad(F.col("n_hit"), F.col("n_words"))).select("key"))
+    return docs.join(bad, F.md5(docs["text"].cast("binary")) == bad["key"], "left_anti")
