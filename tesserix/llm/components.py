@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tesserix.llm.common import cut
 
-MAX_ROUNDS = 60
-
 
 def connected(edges: DataFrame) -> DataFrame:
     """edges a, b (long) -> node, component (the least node reachable). Nodes without an edge are absent.
@@ -18,7 +16,7 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     last = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
         if mark == last or not mark["n"]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
@@ -30,4 +28,3 @@ def connected(edges: DataFrame) -> DataFrame:
         joined = large.join(down, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).filter("a <> b")
         now = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -17,19 +17,19 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserix.llm.textmap import map_texts
+from tesserix.llm.textmap import map_batches, map_texts, slices
 
 TRAIN_DOCS = 2000
 BITS = 16
 FOLDS = 5
-_LETTER = re.compile(r"[^\W\d_]")
+#: EM ends when no proportion moves by more.
+SETTLED = 1e-4
 #: ASCII that is no letter becomes a space.
 _FOLD = bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -61,50 +61,57 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, smoothing: float = 0.1)
         import pyarrow as pa
 
         seen: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for part in slices(batches):
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 into = seen.setdefault(lang, np.zeros(1 << BITS, np.int64))
                 into += np.bincount(grams(text), minlength=1 << BITS)
         for lang, n in seen.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "gram", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = map_batches(sample, count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.full((1 << BITS, len(langs)), smoothing)
     table[counts["gram"].to_numpy(), np.searchsorted(langs, counts["lang"].to_numpy().astype(object))] += counts["n"].to_numpy()
     return langs, table / table.sum(axis=0)
 
 
-def fit(p: np.ndarray, n: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Proportions of the columns of p for counts n, and the log-likelihood."""
+def fit(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
+    """Proportions of the columns of p for counts n, and the log-likelihood. EM never lowers it and has one maximum here, as it is concave."""
     w = np.full(p.shape[1], 1 / p.shape[1])
-    total = n.sum()
-    if p.shape[1] > 1:
-        for _ in range(rounds):
-            w = w * ((n / (p @ w)) @ p) / total
+    total, moved = n.sum(), p.shape[1] > 1
+    while moved:
+        nxt = w * ((n / (p @ w)) @ p) / total
+        moved = float(np.abs(nxt - w).max()) > SETTLED
+        w = nxt
     return w, float(n @ np.log(p @ w))
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of Unicode category L."""
+    return any(map(str.isalpha, text))
+
+
 def infer(text: str | None, table: np.ndarray) -> list[tuple[int, float]]:
     """(language, proportion) of the chosen set, largest first; empty if there is nothing to judge."""
-    if text is None or not table.shape[1] or not _LETTER.search(text):
+    if text is None or not table.shape[1] or not has_letter(text):
         return []
     codes, n = np.unique(grams(text), return_counts=True)
     if not len(codes):
         return [(0, 1.0 / table.shape[1])]
     p = table[codes]
-    w, _ = fit(p, n)
-    order = [k for k in np.argsort(-w, kind="stable") if w[k] > 0.01] or [int(np.argmax(w))]
+    w, most = fit(p, n)
+    order = np.argsort(-w, kind="stable").tolist()
     best, price = None, np.inf
     for size in range(1, len(order) + 1):
+        # No set is likelier than all languages together, so from here on the penalty alone costs more.
+        if -2 * most / 3 + (size - 1) * np.log(n.sum()) >= price:
+            break
         wk, fitted = fit(p[:, order[:size]], n)
         cost = -2 * fitted / 3 + (size - 1) * np.log(n.sum())
         if cost < price:
             best, price = wk, cost
-        elif size > 2:
-            break
-    return sorted(((int(order[i]), float(x)) for i, x in enumerate(best)), key=lambda r: (-r[1], r[0]))
+    return sorted(((order[i], float(x)) for i, x in enumerate(best)), key=lambda r: (-r[1], r[0]))
 
 
 def predict(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:

@@ -53,6 +53,6 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
         (2 * (F.col("_byte_start") + F.sum("size").over(running)) - F.col("size")).cast("decimal(25,0)").alias("_mid2"),
         (2 * F.col("_total")).cast("decimal(25,0)").alias("_total2"),
     )
-    sharded = ranked.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(F.col("_mid2") * n_shards / F.col("_total2")).cast("int")))
+    sharded = ranked.withColumn("shard", F.least(F.lit(n_shards - 1), F.expr(f"(_mid2 * {int(n_shards)}) div _total2").cast("int")))
     firsts = sharded.groupBy("shard").agg(F.min("_row").alias("_first"))
     return sharded.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("_row") - F.col("_first")).alias("slot"))
