@@ -20,10 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tesserix.llm.common import cut
 from tesserix.llm.components import connected
-from tesserix.llm.textmap import map_texts
+from tesserix.llm.textmap import map_batches, map_texts, slices
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
@@ -151,35 +152,37 @@ def _losers(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return moved.select("component", "key", "least", "hashes").groupBy("component").applyInArrow(group, "key string")
 
 
-def _with_keys(docs: DataFrame) -> DataFrame:
-    """docs and _key."""
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    at = docs.columns.index("text")
+def _with_keys(docs: DataFrame, text: str) -> DataFrame:
+    """docs and _key, the digest of the words."""
+    at = docs.columns.index(text)
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            keys = pa.array([key_of(words_of(t)) for t in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "_key"])
+        for part in slices(batches, 1024):
+            keys = pa.array([key_of(words_of(t)) for t in part.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns, keys], names=[*part.schema.names, "_key"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_key", StringType())]))
+    return map_batches(docs, run, StructType([*docs.schema.fields, StructField("_key", StringType())]))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component stays; columns unchanged."""
-    prints, classes = _classes(docs)
-    losers = cut(_losers(docs, _candidates(classes)))
-    stay = classes.select("key", "least").join(losers, "key", "left_anti")
+    """One row of each component stays; columns unchanged, whatever their names."""
+    names = docs.columns
+    # Under plain names inside, so that no column of docs can clash with one of a step.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
+    prints, classes = _classes(plain.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    losers = cut(_losers(plain.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), _candidates(classes)))
+    stay = classes.select(F.col("key").alias("_k"), "least").join(losers, F.col("_k") == losers["key"], "left_anti")
     rows = prints.groupBy("key", "doc_id").agg(F.count("*").alias("n"))
-    wins = rows.join(stay.withColumnRenamed("key", "_k"), (rows["key"] == F.col("_k")) & rows["doc_id"].eqNullSafe(F.col("least")), "left")
+    wins = rows.join(stay, (rows["key"] == F.col("_k")) & rows["doc_id"].eqNullSafe(F.col("least")), "left")
     # Rows that are not in this table are the only one of their class and stay.
     known = cut(wins.select("key", F.col("doc_id").alias("_id"), "n", F.col("_k").isNotNull().alias("_wins")).filter("n > 1 OR NOT _wins"))
-    keyed = _with_keys(docs)
-    out = keyed.join(known, (keyed["_key"] == known["key"]) & keyed["doc_id"].eqNullSafe(known["_id"]), "left").filter("_wins IS NULL OR _wins")
-    names = [f"`{c}`" for c in docs.columns]
+    keyed = _with_keys(plain, text)
+    out = keyed.join(known, (keyed["_key"] == known["key"]) & keyed[doc_id].eqNullSafe(known["_id"]), "left").filter("_wins IS NULL OR _wins")
     if known.filter("_wins").limit(1).count():
-        again = out.filter("n > 1").withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy("text")))
-        return out.filter("n IS NULL OR n = 1").select(*names).union(again.filter("_at = 1").select(*names))
-    return out.select(*names)
+        # Rows that share words and least id: the first by text, then any, stays.
+        again = out.filter("n > 1").withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy(text)))
+        out = out.filter("n IS NULL OR n = 1").select(*plain.columns).union(again.filter("_at = 1").select(*plain.columns))
+    return out.select(*plain.columns).toDF(*names)

@@ -10,7 +10,7 @@ least threshold whose held-out precision is PRECISION. Of overlapping winners th
 
 Defined results: a null text is an empty one; repeated rows are scanned alone; an empty table
 gives no rows; extra columns are ignored by scan() and kept by redact(). Offsets are code
-points, ends exclusive. All patterns are linear in the text, for runs of any length.
+points, ends exclusive. All patterns are linear in the text, for runs of any length, and spans are compared in sorted order.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from tesserix.llm.gbt import Boosted
-from tesserix.llm.textmap import map_texts
+from tesserix.llm.textmap import map_batches, map_texts, slices
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("call", "national_id", "account", "spelled_email", "hardware")
@@ -252,20 +253,37 @@ def model() -> tuple[Boosted, tuple[float, ...]]:
     return trees, tuple(cuts)
 
 
+def _free(starts: list[int], ends: list[int], a: int, b: int) -> bool:
+    """Whether a:b meets none of the disjoint spans, given in order."""
+    at = bisect_left(starts, b)
+    return not at or ends[at - 1] <= a
+
+
 def spans_of(text: str | None, trees: Boosted, cuts: tuple[float, ...]) -> tuple[list, list]:
     """Base spans and added spans, each (kind index, start, end)."""
     text = text or ""
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     won = []
     for k, a, b in candidates(text):
-        if not any(x < b and a < z for x, z in taken):
+        if _free(starts, ends, a, b):
             p = trees.probability(features(text, k, a, b))
             if p >= cuts[k - len(BASE)]:
                 won.append((-p, k, a, b))
     more: list[tuple[int, int, int]] = []
+    starts, ends = [], []
     for _, k, a, b in sorted(won):
-        if not any(x < b and a < z for _, x, z in more):
+        if _free(starts, ends, a, b):
+            at = bisect_left(starts, a)
+            starts.insert(at, a)
+            ends.insert(at, b)
             more.append((k, a, b))
     return base, sorted(more)
 
@@ -307,7 +325,7 @@ def redact(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = [redacted(t, trees, cuts) for t in batch.column(names.index("text")).to_pylist()]
             columns = list(batch.columns)
             columns[names.index("text")] = pa.array(texts, batch.schema.field("text").type)
@@ -315,4 +333,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

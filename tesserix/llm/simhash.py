@@ -13,7 +13,7 @@ alternating stars.
 Defined results: a null, empty or word-less text has fingerprint zero, linked like any other; under three
 words the whole sequence is one shingle; rows that repeat a doc_id are documents of their own with one
 id; a null doc_id never names a component unless it is alone; an empty table gives no
-rows; extra columns are ignored by near_duplicates() and kept by keep_one().
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tesserix.llm.common import cut
 from tesserix.llm.components import connected
-from tesserix.llm.textmap import map_texts
+from tesserix.llm.textmap import map_batches, map_texts
 
 BITS = 64
 SHINGLE = 3
@@ -84,7 +84,7 @@ def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
                 n += len(bits)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS + 1, dtype=np.int32)), pa.array(np.append(both.ravel(), n).astype(np.int64))], names=["at", "n"])
 
-    rows = prints.select("fp").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    rows = map_batches(prints.select("fp"), count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
     flat = np.zeros(BITS * BITS + 1)
     for r in rows:
         flat[r["at"]] = r["n"]
@@ -183,18 +183,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each component stays: that of the least id; columns unchanged.
-
-    If rows repeat an id, they repeat in the join too; of those with the same words one stays.
-    """
-    found = cut(near_duplicates(docs, radius, shingle))
-    stay = found.filter(F.col("doc_id").isNull() & F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    stay = stay.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    names = [f"`{c}`" for c in docs.columns]
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]))
-    if stay.filter("_n > 1").limit(1).count():
-        kept = kept.withColumn("_words", F.md5(F.array_join(F.split(F.trim(F.lower(F.coalesce("text", F.lit("")))), r"\s+"), " "))).dropDuplicates(["_id", "_words"])
-    return kept.select(*names)

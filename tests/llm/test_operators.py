@@ -9,9 +9,10 @@ from collections import Counter
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tesserix.llm import chat, decontam, langid, packing, pii, quality, queries, secrets, sharding, simhash, substrings
+from tesserix.llm import chat, decontam, langid, neardup, packing, pii, quality, queries, secrets, sharding, simhash, substrings
 from tesserix.llm.wordids import WordIds
 
 SF = "/root/testdata/sf0.001"
@@ -142,21 +143,10 @@ def test_allocation_meets_the_pigeonhole_bound():
         assert len({b for g, _ in parts for b in g}) == sum(len(g) for g, _ in parts)
 
 
-def test_keep_one_keeps_the_least_of_each_group(docs_of):
-    rows = near_rows()
-    ids, prints = [i for i, _ in rows], [brute_fingerprint(t) for _, t in rows]
-    want = {i for i, c in zip(ids, brute_components(prints, ids)) if i == c}
-    df = docs_of(rows, CLASH)
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns
-    got = [r["doc_id"] for r in kept.collect()]
-    assert set(got) >= want - {None} and len([g for g in got if g not in want]) == 0
-
-
 def brute_decontam(rows, items):
     pat = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: pat.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-    windows = [(i, tuple(w[s : s + 13])) for i, t in items for w in [low(t)] if w and i is not None for s in range(max(1, len(w) - 12))]
+    windows = [(i, tuple(w[s : s + 13])) for i, t in items for w in [low(t)] if w for s in range(max(1, len(w) - 12))]
     out = []
     for i, t in rows:
         w, hit, ids = low(t), set(), set()
@@ -164,14 +154,15 @@ def brute_decontam(rows, items):
             for s in range(len(w) - len(g) + 1):
                 if tuple(w[s : s + len(g)]) == g:
                     hit.update(range(s, s + len(g)))
-                    ids.add(str(item))
-        out.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+                    ids.add(item)
+        named = ",".join(sorted(str(x) for x in ids if x is not None))
+        out.append((i, len(w), len(hit), len(ids), hashlib.sha256(named.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     return sort(out)
 
 
 @pytest.mark.parametrize("block", [40, decontam.BLOCK_WORDS])
 def test_decontamination_against_brute_force(spark, docs_of, block):
-    rows = [r for r in corpus(n=30) if r[0] not in (600, 601)]
+    rows = corpus(n=30)
     items = [(1, " ".join(rows[3][1].split()[12:40])), (2, "É x"), (10, rows[4][1]), (3, None), (4, "--"), (5, " ".join(rows[6][1].upper().split()[:13])), (None, "a b")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows.append((77, "zz É x É x yy, " + items[0][1]))
@@ -179,12 +170,20 @@ def test_decontamination_against_brute_force(spark, docs_of, block):
     assert sort(got.collect()) == brute_decontam(rows, items)
 
 
-def test_drop_contaminated_agrees_with_the_verdict(spark, docs_of):
-    rows = [(i, t) for i, (_, t) in enumerate(corpus(n=30)[:30])]
-    bench = spark.createDataFrame([(1, " ".join(rows[3][1].split()[12:40]))], "item_id long, text string")
-    df = docs_of(rows)
-    bad = {r["doc_id"] for r in decontam.find_contamination(df, bench).filter("contaminated").collect()}
-    assert bad and {r["doc_id"] for r in decontam.drop_contaminated(df, bench).collect()} == {i for i, _ in rows} - bad
+@pytest.mark.parametrize("block", [20, decontam.BLOCK_WORDS])
+def test_drop_contaminated_keeps_rows_as_they_are(spark, docs_of, block):
+    """Many blocks or one, repeated and null ids, and columns named like those of a step."""
+    rows = corpus(n=30)
+    items = [(1, " ".join(rows[3][1].split()[12:70])), (None, rows[6][1])]
+    df = docs_of(rows, CLASH + ", key string, _k string").withColumn("n_hit", F.lit(5))
+    verdicts = brute_decontam(rows, items)
+    text = {(i, len(decontam.tokens(t))): t for i, t in rows}
+    got = decontam.drop_contaminated(df, spark.createDataFrame(items, "item_id long, text string"), block_words=block)
+    assert got.columns == df.columns
+    want = sort((v[0], text[(v[0], v[1])] or "") for v in verdicts if not v[5])
+    assert len(want) < len(rows)
+    assert sort((r["doc_id"], " ".join((r["text"] or "").split())) for r in got.collect()) == sort((i, " ".join(t.split())) for i, t in want)
+    assert all(r["_row"] == "x" and r["key"] == "x" and r["n_hit"] == 5 for r in got.collect())
 
 
 def test_shards_are_contiguous_balanced_and_gapless(odd):
@@ -356,7 +355,7 @@ def test_empty_tables(spark, docs_of):
     none = docs_of([])
     bench = spark.createDataFrame([], "item_id long, text string")
     for out in (
-        substrings.dedup_passages(none), simhash.near_duplicates(none), simhash.keep_one(none), decontam.find_contamination(none, bench), decontam.drop_contaminated(none, bench),
+        substrings.dedup_passages(none), simhash.near_duplicates(none), neardup.keep_one(none), decontam.find_contamination(none, bench), decontam.drop_contaminated(none, bench),
         sharding.shard_by_bytes(none), quality.assess(none), secrets.scan(none), pii.scan(none), pii.redact(none), langid.predict(none), packing.pack(none, queries.tokenizer_path()),
         chat.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")),
     ):
@@ -365,13 +364,40 @@ def test_empty_tables(spark, docs_of):
     assert [tuple(r) for r in some] == [(1, 2, 0, [], False)]
 
 
+def brute_classes(texts, ids):
+    """Least id of each component under five-word shingles and similarity 0.8."""
+    sets = []
+    for t in texts:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(sets)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    holders = {}
+    for i, s in enumerate(sets):
+        for j in {j for x in s for j in holders.get(x, ())}:
+            both = len(s & sets[j])
+            if 5 * both >= 4 * (len(s) + len(sets[j]) - both):
+                up[top(i)] = top(j)
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    least = {}
+    for i, d in enumerate(ids):
+        least[top(i)] = min(d, least.get(top(i), d))
+    return [least[top(i)] for i in range(len(sets))]
+
+
 def test_pipeline_against_brute_force(spark):
     docs = pq.read_table(f"{SF}/documents.parquet").to_pylist()
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
     kept = {r["doc_id"] for r in quality.assess(spark.read.parquet(f"{SF}/documents.parquet")).filter("kept").collect()}
     docs = [d for d in docs if d["doc_id"] in kept]
     ids = [d["doc_id"] for d in docs]
-    groups = brute_components([brute_fingerprint(d["text"]) for d in docs], ids)
+    groups = brute_classes([d["text"] for d in docs], ids)
     docs = [d for d, g in zip(docs, groups) if d["doc_id"] == g]
     bad = {r[0] for r in brute_decontam([(d["doc_id"], d["text"]) for d in docs], items) if r[5]}
     trees, cuts = pii.model()
