@@ -1,16 +1,22 @@
 """Near-duplicates by word shingles: five words, Jaccard similarity of four fifths or more, verified exactly.
 
-Documents of equal words are one class before anything is joined. A class has the set of the XXH64 (seed 42)
-of its five-word shingles; BANDS keys of ROWS minima each propose candidates: two sets at similarity s
-share a key with chance 1 - (1 - s^6)^48, which misses one pair in two million at 0.8 and fewer above.
-Classes that share a key are linked to the least of them only, so no pair is formed; the
+Documents of equal words are one class before anything is joined. Candidates of a class come from two sources:
+
+- its SimHash over the five-word shingles and the probes of the generalised pigeonhole (simhash.links), which reach classes
+  at up to three differing bits. Sets at similarity 0.8 differ in ten bits of 64 on average, and a radius that wide would
+  make a large share of all pairs candidates, so this alone can't find them all;
+- so BANDS keys of ROWS minima each over the same shingle hashes: two sets at similarity s share a key with chance
+  1 - (1 - s^6)^48, which misses one pair in two million at 0.8 and fewer above.
+
+Classes that share a key or a fingerprint are linked to the least of them only, so no pair is formed; the
 components of these links are the candidate groups. The set of a class moves once, to its group, where a
 search from set to set over an inverted list finds every pair that is similar enough, so the components are
 those of all true links among candidates. A candidate group is held by one task.
 
 Defined results: null, empty and word-less texts are one class, similar to nothing else; under five words the whole
 sequence is one shingle; of each component one row stays: that of the least id (null is the largest), then
-of the least digest of the words, then of the least text; an empty table gives no rows; all columns are kept.
+of the least digest of the words, then of the least text; an empty table gives no rows; all columns are kept, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tesserix.llm.common import cut
 from tesserix.llm.components import connected
+from tesserix.llm.simhash import links, majority
 from tesserix.llm.textmap import map_batches, map_texts, slices
 
 SHINGLE = 5
@@ -100,17 +107,18 @@ def components(sets: list[np.ndarray]) -> list[list[int]]:
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of each row; key, least id and bands of each class."""
+    """(doc_id, key) of each row; key, least id, fingerprint (null without words) and bands of each class."""
 
     def make():
         def each(doc_id, text) -> Iterator[tuple]:
             words = words_of(text)
-            yield doc_id, key_of(words), bands(shingles(words))
+            hashes = shingles(words)
+            yield doc_id, key_of(words), majority(hashes) if len(hashes) else None, bands(hashes)
 
         return each
 
-    prints = cut(map_texts(docs, "doc_id long, key string, bands array<long>", make))
-    return prints.select("doc_id", "key"), cut(prints.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
+    prints = cut(map_texts(docs, "doc_id long, key string, fp long, bands array<long>", make))
+    return prints.select("doc_id", "key"), cut(prints.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
 
 
 def _node():
@@ -118,11 +126,15 @@ def _node():
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """key, least, component of the classes that share a band with another."""
+    """key, least, component of the classes that share a band with another or have fingerprints a few bits apart."""
+    prints = classes.filter("fp IS NOT NULL").select(_node().alias("node"), "fp")
+    first = cut(prints.groupBy("fp").agg(F.min("node").alias("lo")))
+    same = prints.join(first, "fp").filter("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b"))
+    near = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("lo").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("lo").alias("y")), "b").select("x", "y")
     held = classes.select(_node().alias("node"), F.explode("bands").alias("band"))
     leaders = held.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select(F.col("band").alias("_band"), "lo")
-    links = held.join(leaders, held["band"] == leaders["_band"]).filter("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()
-    groups = connected(links)
+    banded = held.join(leaders, held["band"] == leaders["_band"]).filter("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b"))
+    groups = connected(banded.union(same).union(near).distinct())
     named = classes.select("key", "least", _node().alias("_node"))
     return cut(named.join(groups, named["_node"] == groups["node"]).select("key", "least", "component"))
 

@@ -187,7 +187,7 @@ def _training_set(n: int, seed: int) -> list[tuple[str, int, str]]:
         lambda: (r.choice(("ssn", "social security", "tax id", "national id")), f"{d(3)}-{d(2)}-{d(4)}"),
         lambda: (r.choice(("iban", "account", word(), "bank")), account()),
         lambda: (r.choice(("mail", "contact", word(), "write to")), r.choice((f"{word()} at {word()} dot com", f"{word()} (at) {word()} (dot) org", f"{word()}[at]{word()}[dot]net"))),
-        lambda: (r.choice(("mac", "device", "host addr", word())), r.choice((":".join(h(2) for _ in range(6)), ":".join(h(4) for _ in range(8))))),
+        lambda: (r.choice(("mac", "device", "host addr", word(), word(), word(), "")), r.choice((":".join(h(2) for _ in range(6)), ":".join(h(4) for _ in range(8))))),
     )
     bad = (
         lambda: (r.choice(("order", "invoice", "ticket", "serial", "item", word(), word(), "")), r.choice((d(r.randint(7, 19)), f"{d(4)}-{d(4)}", f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{d(4)}{d(4)}{d(4)}{d(4)}"))),

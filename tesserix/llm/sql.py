@@ -49,13 +49,13 @@ WITH said AS (
     CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
   FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
 ), led AS (
-  SELECT *, '{chat.OPEN}' || role || CASE WHEN role = 'user' THEN '{chat.NAME}' || speaker ELSE '' END || chr(10) AS lead FROM shown
+  SELECT *, '{chat.OPEN}' || role || CASE WHEN role = 'user' THEN '{chat.NAME}' || replace(replace(speaker, '<|', '< |'), chr(10), ' ') ELSE '' END || chr(10) AS lead FROM shown
 ), segs AS (
-  SELECT *, lead || body || '<|im_end|>' || chr(10) AS segment FROM led
+  SELECT *, lead || replace(body, '<|', '< |') || '<|im_end|>' || chr(10) AS segment FROM led
 ), placed AS (
   SELECT *, row_number() OVER w - 1 AS seq,
     sum(length(segment)) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS stop
-  FROM segs WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn, speaker, body)
+  FROM segs WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, md5(body))
 )
 SELECT conv_id, perspective, seq, turn, speaker, role, segment, stop - length(segment) AS start, stop AS "end",
   CASE WHEN role = 'assistant' THEN stop - length(segment) + length(lead) END AS mask_start,
