@@ -137,6 +137,7 @@ def _mod97(s: str) -> bool:
 _BEFORE = re.compile(r"([0-9]+)([ ().\-/]{1,4})$")
 _AFTER = re.compile(r"([ ().\-/]{1,4})([0-9]+)")
 _GAPS = re.compile(r"[^0-9]+")
+_ALNUM = re.compile(r"[0-9A-Za-z]+")
 
 
 def _joints(text: str, kind: int, a: int, b: int) -> list[float]:
@@ -162,7 +163,7 @@ def features(text: str, kind: int, a: int, b: int) -> list[float]:
         float(b - a), float(sum(c.isdigit() for c in span)), float(len(groups)), float(groups[0]), float(groups[-1]), float(max(groups)),
         float(len(seps)), float("." in seps), float("-" in seps), float("(" in seps), float("/" in seps),
         float(kind == 6 and _mod97(span)), float("(" in span or "[" in span), float(" at " in span.lower()),
-        float(span.count(":")), float(span[:1] == "0"), *_joints(text, kind, a, b),
+        float(span.count(":")), float(sum(c.isalpha() for c in span)), float(max(map(len, _ALNUM.findall(span)))), float(span[:1] == "0"), *_joints(text, kind, a, b),
         *(float(bool(p.search(near))) for p in _CONTEXT),
         float(text[a - 1 : a] in "$#€£"if a else 0.0), float(text[b : b + 1] in "%$€£" if b < len(text) else 0.0),
     ]
@@ -175,6 +176,12 @@ def _training_set(n: int, seed: int) -> list[tuple[str, int, str]]:
     h = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     word = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(3, 8)))
 
+    def local() -> str:
+        return r.choice((word(), f"{word()}.{word()}", f"{word()}{d(1)}", f"{word()[0]}_{word()}"))
+
+    def site() -> str:
+        return r.choice((word(), word(), f"{word()}-{word()}"))
+
     def account() -> str:
         body = "".join(r.choice("0123456789") for _ in range(18))
         check = 98 - int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
@@ -182,11 +189,12 @@ def _training_set(n: int, seed: int) -> list[tuple[str, int, str]]:
         return " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if r.random() < 0.5 else s
 
     good = (
-        lambda: (r.choice(("call", "phone", "tel:", "my mobile is", "fax", "dial", "cell")), r.choice((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"{d(3)} {d(3)} {d(4)}"))),
+        lambda: (r.choice(("call", "phone", "tel:", "my mobile is", "fax", "dial", "cell")), r.choice((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(3)} {d(6)}", f"{d(3)}/{d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}"))),
         lambda: (r.choice(("", word(), "at")), f"({d(3)}) {d(3)}-{d(4)}"),
         lambda: (r.choice(("ssn", "social security", "tax id", "national id")), f"{d(3)}-{d(2)}-{d(4)}"),
         lambda: (r.choice(("iban", "account", word(), "bank")), account()),
-        lambda: (r.choice(("mail", "contact", word(), "write to")), r.choice((f"{word()} at {word()} dot com", f"{word()} (at) {word()} (dot) org", f"{word()}[at]{word()}[dot]net"))),
+        lambda: (r.choice(("mail", "contact", word(), "write to")), r.choice((f"{local()} at {site()} dot com", f"{local()} (at) {site()} (dot) org", f"{local()}[at]{site()}[dot]net"))),
+        lambda: (r.choice(("", word())), r.choice((f"{local()} (at) {site()} (dot) org", f"{local()} [at] {site()} [dot] net"))),
         lambda: (r.choice(("mac", "device", "host addr", word(), word(), word(), "")), r.choice((":".join(h(2) for _ in range(6)), ":".join(h(4) for _ in range(8))))),
     )
     bad = (
@@ -233,7 +241,7 @@ def _lists(n: int, seed: int) -> list[tuple[str, int, tuple[str, ...]]]:
 def model() -> tuple[Boosted, tuple[float, ...]]:
     """The trees, and a threshold for each added kind."""
     rows, y, kinds = [], [], []
-    for text, label, spans in [(t, y, (span,)) for t, y, span in _training_set(3000, 17)] + _lists(900, 18):
+    for text, label, spans in [(t, y, (span,)) for t, y, span in _training_set(6000, 17)] + _lists(900, 18):
         base = base_spans(text)
         for k, a, b in candidates(text):
             if not any(x < b and a < z for _, x, z in base):
@@ -243,7 +251,7 @@ def model() -> tuple[Boosted, tuple[float, ...]]:
                 kinds.append(k)
     x, y, kinds = np.array(rows), np.array(y, float), np.array(kinds)
     held = np.arange(len(y)) % 3 == 0
-    trees = Boosted().fit(x, y, held)
+    trees = Boosted(rounds=60).fit(x, y, held)
     p = np.array([trees.probability(r) for r in x[held]])
     cuts = []
     for k in range(len(BASE), len(KINDS)):

@@ -1,4 +1,4 @@
-"""Recall and precision of the added kinds on sentences that share no template, word or shape list with the training set."""
+"""Recall and precision of the added kinds on sentences that share no template or lead with the training set."""
 
 import random
 
