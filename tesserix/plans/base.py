@@ -23,14 +23,24 @@ EVENTS = """e AS (
 )"""
 
 
+#: Two minutes, and the stretch of time that is one group of the window below.
+_GAP, _STRETCH = 120_000_000, 600_000_000
+
+
 def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src -> dst: the user of a purchase and that of the next one less than two minutes later."""
+    """src -> dst: the user of a purchase and that of the next one of the day less than two minutes later.
+
+    The next one is looked up within stretches of ten minutes; a row early in a stretch also stands at the end of the stretch
+    before, where it is only looked at. So no task holds a day.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("day").orderBy("us", "event_id")
-    p = events(spark, sf_dir).filter("event_type = 'purchase'")
-    e = p.select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"), (F.lead("us").over(w) - F.col("us")).alias("gap"))
-    return e.filter("gap < 120000000 AND src <> dst").select("src", "dst")
+    stretch = F.floor(F.col("us") / _STRETCH)
+    early = (F.col("us") % _STRETCH < _GAP) & (F.floor(F.col("us") / 86_400_000_000) == F.floor((F.col("us") - _GAP) / 86_400_000_000))
+    p = events(spark, sf_dir).filter("event_type = 'purchase'").select("us", "event_id", "user_id", F.floor(F.col("us") / 86_400_000_000).alias("day"), F.explode(F.array_compact(F.array(F.struct(stretch.alias("part"), F.lit(False).alias("copy")), F.when(early, F.struct((stretch - 1).alias("part"), F.lit(True).alias("copy")))))).alias("at"))
+    w = Window.partitionBy("day", "at.part").orderBy("us", "event_id")
+    e = p.select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"), (F.lead("us").over(w) - F.col("us")).alias("gap"), "at.copy")
+    return e.filter(f"NOT copy AND gap < {_GAP} AND src <> dst").select("src", "dst")
 
 
 HOPS = EVENTS + """, hop AS (

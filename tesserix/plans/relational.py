@@ -42,9 +42,11 @@ def join_caller_counts(spark, sf):
     return j.groupBy("p_partkey", "p_brand").agg(F.count("l_orderkey").alias("callers"), F.countDistinct("l_suppkey").alias("suppliers"))
 
 
-@register("join_anti_unsynced", "SELECT c_custkey, c_name FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@register("join_anti_unsynced", "SELECT c_custkey, c_name FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-03-01') ON c_custkey = o_custkey")
 def join_anti_unsynced(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers without an order in two months, as sessions without a sync marker."""
+    since = table(spark, sf, "orders").filter("o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-03-01'")
+    return table(spark, sf, "customer").join(since, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @register("join_semi_sessions", f"WITH {EVENTS} SELECT event_id, user_id FROM e WHERE event_type = 'error' AND user_id IN (SELECT user_id FROM e WHERE event_type = 'signup' AND cents > 5000)")
@@ -126,9 +128,7 @@ JOIN lineitem ON l_orderkey = o_orderkey GROUP BY r_name, n_name HAVING count(*)
 
 @register("sql_passthrough", REVENUE)
 def sql_passthrough(spark, sf):
-    for t in ("region", "nation", "customer", "orders"):
-        table(spark, sf, t).createOrReplaceTempView(t)
-    return P.passthrough(table(spark, sf, "lineitem"), REVENUE, "lineitem", 100_000)
+    return P.passthrough(spark, REVENUE, {t: table(spark, sf, t) for t in ("region", "nation", "customer", "orders", "lineitem")}, 100_000)
 
 
 @register("pricing_summary", """SELECT l_returnflag, l_linestatus, sum(CAST(l_quantity AS BIGINT)) AS qty, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents,
