@@ -121,3 +121,20 @@ def ranked(scores: DataFrame, by: str, top: int) -> DataFrame:
     """doc_id, rank of the best rows; the limit comes first, so the rank window holds top rows."""
     best = scores.orderBy(F.desc(by), "doc_id").limit(top)
     return best.select("doc_id", F.row_number().over(Window.orderBy(F.desc(by), "doc_id")).alias("rank"))
+
+
+def additive_gate(lexical: DataFrame, semantic: DataFrame, k: int, base: int = 60) -> DataFrame:
+    """doc_id, score, semantic_only: lexical hits keep their lexical score alone; of the first k of the vector list, those that are no lexical hit get theirs."""
+    a = lexical.select("doc_id", F.col("rank").alias("lr"))
+    s = semantic.filter(F.col("rank") <= k).select("doc_id", F.col("rank").alias("sr"))
+    g = a.join(s, "doc_id", "full")
+    return g.select("doc_id", (1.0 / (base + F.coalesce("lr", "sr"))).alias("score"), F.col("lr").isNull().alias("semantic_only"), "sr")
+
+
+def demote(rows: DataFrame, key: list[str], pos: str, capped: Column, window: int) -> DataFrame:
+    """rows with rank: the head of window places has at most a quarter (one at least) of capped rows; all others follow in their order."""
+    w = Window.partitionBy(*key).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    most = max(1, window // 4)
+    r = rows.withColumn("_ok", ~capped | (F.count_if(capped).over(w) <= most))
+    r = r.withColumn("_head", F.col("_ok") & (F.count_if(F.col("_ok")).over(w) <= window))
+    return r.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(~F.col("_head"), pos))).drop("_ok", "_head")

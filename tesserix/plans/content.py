@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import random
 import uuid
 
 from pyspark.sql import functions as F
 
 from tesserix.operators import graph as G
 from tesserix.operators import retrieval as R
+from tesserix.operators import similarity as D
 from tesserix.operators import text as T
 from tesserix.plans.base import EVENTS, HOPS, hops
 from tesserix.plans.registry import register
@@ -39,10 +39,7 @@ def text_injection_flag(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.any_of(t, T.INJECTIONS).alias("injected"), (t.contains("$(") | t.contains("`") | t.contains("&&")).alias("shell"))
 
 
-_URL = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '([?&]){T.TRACKING}=[^&#]*', '\\1', 'g'), '&+', '&', 'g'), '\\?&', '?', 'g'), '[?&]+(#|$)', '\\1', 'g')"
-
-
-@register("url_tracking_strip", f"SELECT page_id, {_URL} AS url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages")
+@register("url_tracking_strip", f"SELECT page_id, {T.tracking_sql("url")} AS url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages")
 def url_tracking_strip(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.strip_tracking(F.col("url")).alias("url"), F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("host"))
 
@@ -74,7 +71,7 @@ def text_operation_key(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.operation_key(F.col("lang"), F.col("source")).alias("key"))
 
 
-@register("text_chunks", "SELECT doc_id, i AS chunk, length(string_split(text, chr(10))[i]) AS chars FROM documents, (SELECT unnest(range(1, 4000)) AS i) WHERE i <= len(string_split(text, chr(10))) AND trim(string_split(text, chr(10))[i]) <> ''")
+@register("text_chunks", "SELECT doc_id, i AS chunk, length(string_split(text, chr(10))[i]) AS chars FROM documents, (SELECT unnest(range(1, (SELECT max(len(string_split(text, chr(10)))) + 1 FROM documents))) AS i) WHERE i <= len(string_split(text, chr(10))) AND trim(string_split(text, chr(10))[i]) <> ''")
 def text_chunks(spark, sf):
     x = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
     return x.filter(F.trim("x") != "").select("doc_id", (F.col("i") + 1).cast("long").alias("chunk"), F.length("x").cast("long").alias("chars"))
@@ -85,30 +82,10 @@ def dedup_exact(spark, sf):
     return table(spark, sf, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("keeper"))
 
 
-_P61 = (1 << 61) - 1
-_RNG = random.Random(1)
-_A = [_RNG.randint(1, _P61 - 1) for _ in range(128)]
-_B = [_RNG.randint(0, _P61 - 1) for _ in range(128)]
-
-
-def minhash(tokens: list[str], perms: int = 128) -> list[int]:
-    import hashlib
-
-    hs = [int.from_bytes(hashlib.sha1(t.encode()).digest()[:4], "little") for t in set(tokens)]
-    return [min(((a * h + b) % _P61 & 0xFFFFFFFF for h in hs), default=0xFFFFFFFF) for a, b in zip(_A[:perms], _B[:perms])]
-
-
 @register("minhash_signatures")
 def minhash_signatures(spark, sf):
-    """item_id, signature: 128 minima of affine hashes of the words of a benchmark item."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([minhash((t or "").lower().split()) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["item_id", "signature"])
-
-    return table(spark, sf, "benchmark").select("item_id", "text").mapInArrow(run, "item_id long, signature array<long>")
+    """doc_id, signature: 128 minima of affine hashes of the words of a document."""
+    return D.signatures(table(spark, sf, "documents"))
 
 
 @register("vector_top_k", """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)
@@ -143,14 +120,22 @@ def bm25_search(spark, sf):
 
 
 _RRF = f"""WITH {_BM}, a AS (SELECT doc_id, row_number() OVER (ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM b WHERE bm25 > 0 ORDER BY rank LIMIT 100),
-l AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents ORDER BY rank LIMIT 100),
+q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), c AS (SELECT vec_id AS doc_id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[])), 6) AS score FROM embeddings, q WHERE vec_id <> 0),
+l AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM c ORDER BY rank LIMIT 100),
 u AS (SELECT doc_id, 1.0 / (60 + rank) AS s FROM a UNION ALL SELECT doc_id, 0.5 / (60 + rank) FROM l), r AS (SELECT doc_id, sum(s) AS score FROM u GROUP BY 1)"""
 
 
-def _fused(spark, sf):
-    docs = table(spark, sf, "documents")
+def lists(spark, sf):
+    """(doc_id, rank) of the lexical and of the vector list; a vector belongs to the document of its id, and vector 0 is the query."""
+    docs, e = table(spark, sf, "documents"), table(spark, sf, "embeddings")
     a = R.ranked(R.bm25(docs, _TERMS).select("doc_id", F.round("bm25", 6).alias("bm25")), "bm25", 100)
-    return R.fuse([(a, 1.0), (R.ranked(docs.select("doc_id", "n_chars"), "n_chars", 100), 0.5)])
+    near = R.nearest(e, e.filter("vec_id = 0"), 100).select(F.col("vec_id").alias("doc_id"), "score")
+    return a, R.ranked(near, "score", 100)
+
+
+def _fused(spark, sf):
+    a, v = lists(spark, sf)
+    return R.fuse([(a, 1.0), (v, 0.5)])
 
 
 @register("rank_fusion", f"{_RRF} SELECT doc_id, round(score, 8) AS score FROM r")
@@ -178,7 +163,7 @@ def graph_coupling(spark, sf):
     return G.coupling(hops(spark, sf))
 
 
-@register("graph_blast_radius", f"""WITH RECURSIVE {HOPS}, d AS (SELECT DISTINCT src, dst FROM hop), r(node, depth) AS (SELECT node, 0 FROM (SELECT min(dst) AS node FROM d) WHERE node IS NOT NULL UNION SELECT d.src, r.depth + 1 FROM r JOIN d ON d.dst = r.node WHERE r.depth < 40)
+@register("graph_blast_radius", f"""WITH RECURSIVE {HOPS}, d AS (SELECT DISTINCT src, dst FROM hop), r(node, depth) AS (SELECT node, 0 FROM (SELECT min(dst) AS node FROM d) WHERE node IS NOT NULL UNION SELECT d.src, r.depth + 1 FROM r JOIN d ON d.dst = r.node WHERE r.depth < (SELECT count(*) FROM d))
 SELECT node, min(depth)::BIGINT AS depth, min(depth) = 1 AS direct FROM r GROUP BY node""")
 def graph_blast_radius(spark, sf):
     """Everything that reaches the least target of an edge, with its distance."""

@@ -28,4 +28,4 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 # The modules register themselves.
-from tesserix.plans import analytics, codeintel, content, ledger, relational, reports, upkeep  # noqa: E402, F401
+from tesserix.plans import analytics, codeintel, content, ledger, ranking, relational, reports, textforms, upkeep  # noqa: E402, F401
