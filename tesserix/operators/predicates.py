@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,8 +52,8 @@ def checked_pattern(pattern: str) -> str:
     jvm = SparkSession.getActiveSession()._jvm
     try:
         jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError as e:
-        raise QueryError(f"bad pattern: {e.java_exception.getMessage()}") from None
+    except (Py4JJavaError, PySparkException) as e:
+        raise QueryError(f"bad pattern: {str(e).splitlines()[0]}") from None
     return pattern
 
 
@@ -103,8 +104,8 @@ _WRITES = re.compile(r"Insert|Overwrite|Merge|Delete|Update|Create|Replace|Drop|
 def _parsed(spark: SparkSession, sql: str):
     try:
         return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    except Py4JJavaError as e:
-        raise QueryError(f"not one SQL statement: {str(e.java_exception.getMessage()).splitlines()[0]}") from None
+    except (Py4JJavaError, PySparkException) as e:
+        raise QueryError(f"not one SQL statement: {' '.join(str(e).split())[:200]}") from None
 
 
 def read_only(spark: SparkSession, sql: str) -> str:

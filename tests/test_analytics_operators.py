@@ -4,8 +4,7 @@ import random
 
 import pytest
 
-from tesserix.operators import graph, predicates, text
-from tesserix.plans.content import minhash
+from tesserix.operators import graph, predicates, similarity, text
 from tesserix.plans.relational import ORDERS
 from tesserix.streaming import refold
 
@@ -21,15 +20,39 @@ def test_bad_predicates_are_refused(spark, where):
         predicates.select_where(spark.range(1), ORDERS, where)
 
 
-def test_sql_guard_and_limit():
-    assert predicates.auto_limit("SELECT 1;", 5) == "SELECT 1 LIMIT 5"
-    assert predicates.auto_limit("SELECT 1 LIMIT 3", 5) == "SELECT 1 LIMIT 3"
-    assert predicates.auto_limit("SELECT 1 UNION SELECT 2", 5).startswith("SELECT * FROM (")
-    for bad in ("DELETE FROM t", "drop table t", "SELECT 1; SELECT 2"):
-        with pytest.raises(predicates.QueryError):
-            predicates.read_only(bad)
+def test_exact_field_names_win(spark):
+    spec = predicates.Select({"x": "number", "x_in": "number"}, {})
+    assert predicates.split_key("x_in", spec) == ("x_in", "") and predicates.split_key("x_gte", spec) == ("x", "_gte")
+    df = spark.createDataFrame([(1, 5), (2, 6)], "x long, x_in long")
+    assert predicates.select_where(df, spec, {"x_in": 6}).count() == 1
+
+
+def test_like_is_ascii_and_has_no_escape(spark):
+    spec = predicates.Select({"s": "text"}, {})
+    df = spark.createDataFrame([("AbC",), ("a%c",), ("ÉX",), ("éX",), ("a\nc",), ("abcd",)], "s string")
+    got = lambda p: {r["s"] for r in predicates.select_where(df, spec, {"s_like": p}).collect()}
+    assert got("a_c") == {"AbC", "a%c", "a\nc"} and got("A%C") == {"AbC", "a%c", "a\nc"}
+    assert got("Éx") == {"ÉX"} and got("a.c") == set() and got("%b%") == {"AbC", "abcd"}
+
+
+@pytest.mark.parametrize("bad", ["DELETE FROM t", "drop table t", "SELECT 1; SELECT 2", "/* x */ DROP TABLE t", "-- c\nDROP TABLE t", "SET a=b", "CACHE TABLE t", "FROM t INSERT INTO u SELECT *", "INSERT INTO t VALUES (1)", "CREATE VIEW v AS SELECT 1", "nonsense"])
+def test_sql_guard_refuses(spark, bad):
+    with pytest.raises(predicates.QueryError):
+        predicates.read_only(spark, bad)
+
+
+def test_sql_limit_views_and_repair(spark):
+    assert predicates.auto_limit(spark, "SELECT 1 LIMIT 3", 5) == "SELECT 1 LIMIT 3"
+    assert spark.sql(predicates.auto_limit(spark, "SELECT * FROM range(9) -- limit 5", 2)).count() == 2
+    assert spark.sql(predicates.auto_limit(spark, "SELECT 1 UNION SELECT 2;", 1)).count() == 1
+    spark.createDataFrame([(1,)], "a int").createOrReplaceTempView("orders")
+    got = predicates.passthrough(spark, "SELECT count(*) AS n FROM orders", {"orders": spark.range(7)}, 10)
+    assert got.first()["n"] == 7 and spark.table("orders").columns == ["a"]
+    spark.catalog.dropTempView("orders")
     assert predicates.repair_column("o_ordrkey", ["o_orderkey", "o_custkey"]) == "o_orderkey"
     assert predicates.repair_column("zzz", ["o_orderkey"]) is None
+    with pytest.raises(predicates.QueryError):
+        predicates.batch(spark, {"a": "SELECT 1", "b": "DROP TABLE t"}, {}, 5)
 
 
 def edges_of(spark, pairs):
@@ -74,6 +97,7 @@ def test_empty_graph(spark):
 
 
 def test_minhash_estimates_jaccard():
+    minhash = similarity.signature
     a, b = [f"w{i}" for i in range(200)], [f"w{i}" for i in range(100, 300)]
     same = sum(x == y for x, y in zip(minhash(a), minhash(b))) / 128
     assert abs(same - 1 / 3) < 0.13 and minhash(a) == minhash(list(reversed(a)))
