@@ -19,11 +19,6 @@ def runs(df: DataFrame, key: list[str], order: list[str], value: str) -> DataFra
     return islands(df.withColumn("_change", change), key, order, F.col("_change")).drop("_change")
 
 
-def last_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-
-
 def positional_join(left: DataFrame, right: DataFrame, key: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:
     """The k-th row of a key on the left meets the k-th of the same key on the right."""
     a = left.withColumn("pos", F.row_number().over(Window.partitionBy(*key).orderBy(*left_order)))

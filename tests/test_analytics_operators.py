@@ -114,3 +114,13 @@ def test_stream_equals_batch_for_late_files(spark, tmp_path):
         part.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     got = refold.stream_fold(spark, f"{tmp_path}/in/*", f"{tmp_path}/out", f"{tmp_path}/ck")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, refold.day_buckets(e).collect()))
+
+
+def test_a_later_version_replaces_a_session(spark, tmp_path):
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    half = e.filter("event_id % 2 = 0")
+    for name, rows, session, version in (("a", half, "s", 1), ("b", e, "s", 2), ("c", half, "t", 7), ("d", e.limit(5), "t", 3)):
+        rows.selectExpr("*", f"'{session}' AS session", f"{version}L AS version").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+    got = refold.stream_fold_sessions(spark, f"{tmp_path}/in/*", f"{tmp_path}/out", f"{tmp_path}/ck")
+    want = refold.day_buckets(e.selectExpr("*", "'s' AS session"), "session").union(refold.day_buckets(half.selectExpr("*", "'t' AS session"), "session"))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
