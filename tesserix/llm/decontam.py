@@ -32,6 +32,7 @@ from tesserix.llm.textmap import map_batches, map_texts, slices
 
 GRAM = 13
 BLOCK_WORDS = 200_000
+HITS = "key string, n_words long, spans array<array<int>>, items array<string>, whole boolean"
 #: Bytes of words stay (digits, letters, everything past ASCII), A-Z fall to a-z, the rest are gaps.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -77,9 +78,9 @@ def _index(block: list[tuple[object, list[bytes]]], counts: dict[bytes, int], gr
     return dict(index)
 
 
-def _hits(words: list[bytes], index: dict) -> tuple[list[tuple[int, int]], set]:
-    """Merged hit ranges of words, and the ids of the items that occur."""
-    spans, found, n = [], set(), len(words)
+def _hits(words: list[bytes], index: dict) -> tuple[list[tuple[int, int]], set, int]:
+    """Merged hit ranges of words, the ids of the items that occur, and the words of the longest window that does."""
+    spans, found, n, longest = [], set(), len(words), 0
     if not index.keys().isdisjoint(words):
         for at, w in enumerate(words):
             for offset, window, ids in index.get(w, ()):
@@ -87,7 +88,8 @@ def _hits(words: list[bytes], index: dict) -> tuple[list[tuple[int, int]], set]:
                 if start >= 0 and start + len(window) <= n and tuple(words[start : start + len(window)]) == window:
                     spans.append((start, start + len(window)))
                     found.update(ids)
-    return merge(spans), found
+                    longest = max(longest, len(window))
+    return merge(spans), found, longest
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -117,7 +119,7 @@ def _blocks(benchmark: DataFrame, block_words: int, gram: int) -> Iterator[list[
 
 
 def _probe(docs: DataFrame, block, gram: int) -> DataFrame:
-    """key, n_words, spans, items of the texts that hold a window of the block."""
+    """HITS of the texts that hold a window of the block; whole: a window of gram words occurs."""
     counts = token_counts(docs, frozenset(w for _, words in block for w in words))
     shared = docs.sparkSession.sparkContext.broadcast(_index(block, counts, gram))
 
@@ -126,33 +128,33 @@ def _probe(docs: DataFrame, block, gram: int) -> DataFrame:
 
         def each(text):
             words = tokens(text)
-            spans, found = _hits(words, index)
+            spans, found, longest = _hits(words, index)
             if spans:
                 key = hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
-                yield key, len(words), [[a, b] for a, b in spans], sorted(str(i) for i in found if i is not None) + [None] * (None in found)
+                yield key, len(words), [[a, b] for a, b in spans], sorted(str(i) for i in found if i is not None) + [None] * (None in found), longest >= gram
 
         return each
 
-    found = cut(map_texts(docs, "key string, n_words long, spans array<array<int>>, items array<string>", make, ("text",)))
+    found = cut(map_texts(docs, HITS, make, ("text",)))
     shared.destroy()
     return found
 
 
 def _contained(docs: DataFrame, benchmark: DataFrame, gram: int, block_words: int) -> DataFrame:
-    """key, n_words, n_hit, items (sorted, then a null for those without an id) of each text with a hit."""
+    """key, n_words, n_hit, items (sorted, then a null for those without an id), whole of each text with a hit."""
     parts = [_probe(docs, block, gram) for block in _blocks(benchmark, block_words, gram)]
-    hits = docs.sparkSession.createDataFrame([], "key string, n_words long, spans array<array<int>>, items array<string>")
+    hits = docs.sparkSession.createDataFrame([], HITS)
     for part in parts:
         hits = hits.union(part)
     # Copies of a text have the same spans of a block, so sets are enough.
-    merged = hits.groupBy("key").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    merged = hits.groupBy("key").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.max("whole").alias("whole"))
     # Words in the union of the ranges: each adds what lies past the furthest end so far.
     covered = F.aggregate(
         F.array_sort("spans"), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")),
         lambda s, x: F.struct((s["sum"] + F.greatest(F.lit(0), x[1] - F.greatest(x[0], s["end"]))).alias("sum"), F.greatest(s["end"], x[1]).alias("end")),
         lambda s: s["sum"].cast("long"),
     )
-    return merged.select("key", "n_words", covered.alias("n_hit"), "items")
+    return merged.select("key", "n_words", covered.alias("n_hit"), "items", "whole")
 
 
 def _bad(n_hit, n_words):
@@ -183,6 +185,12 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents that are not contaminated, columns unchanged. The digests of those that are go to the tasks if Spark knows that they are few."""
-    bad = cut(_contained(docs, benchmark, gram, block_words).filter(_bad(F.col("n_hit"), F.col("n_words"))).select("key"))
+    """The documents without a passage of the benchmark, columns unchanged.
+
+    A window of gram words is a passage in a document of any length, so a share of the words is no excuse for it.
+    Items of fewer words may be plain phrases; a document goes for those if it is contaminated by find_contamination().
+    The digests of those that go are sent to the tasks if Spark knows that they are few.
+    """
+    goes = F.col("whole") | _bad(F.col("n_hit"), F.col("n_words"))
+    bad = cut(_contained(docs, benchmark, gram, block_words).filter(goes).select("key"))
     return docs.join(bad, F.md5(docs["text"].cast("binary")) == bad["key"], "left_anti")
