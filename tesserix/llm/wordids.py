@@ -3,7 +3,7 @@
 The library's own encode() spends most of its time on normalising, splitting and keeping offsets. For a
 tokenizer of the known shape (lower-casing, split on a word pattern, byte-level BPE of each word
 alone) the ids of a text are the ids of its words in order, so the words are split here, and
-each is encoded once by the library's model. A text with any character outside SAFE, where the two
+each is given to the library's model alone. A text with any character outside SAFE, where the two
 Unicode tables might differ, goes through encode() whole. Both ways give the same ids.
 """
 
@@ -16,67 +16,58 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
-import numpy as np
-
-#: Words whose ids a worker keeps; when they are full, the next text starts anew, so frequent words are soon back.
+#: Words of a generation of the cache. A full one becomes the old one, and what the texts use of that moves on, so words of a single text go and frequent ones stay.
 CACHE_WORDS = 100_000
 _SHAPE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 _ALL = [chr(c) for c in range(0x250) if chr(c) in _SPACE or unicodedata.category(chr(c)) != "Cc"]
-#: NFC leaves these as they are, and lower-casing is letter by letter.
-SAFE = "".join(c for c in _ALL if c != "İ")
+#: NFC leaves these as they are, and lower-casing is letter by letter and stays among them.
+SAFE = "".join(c for c in _ALL if c.lower() in set(_ALL))
 
 
 def _class(kind: str) -> str:
     return "".join(re.escape(c) for c in _ALL if unicodedata.category(c)[0] == kind)
 
 
-_UNSAFE = re.compile(f"[^{re.escape(SAFE)}]|<\\|(?:startof|endof)text\\|>")
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{re.escape(_SPACE)}{_class('L')}{_class('N')}]+")
+_UNSAFE = re.compile(f"[^{re.escape(SAFE)}]")
+#: How the tokenizer's special tokens begin.
+_SPECIAL = "<|"
+#: _SHAPE with the commonest kind first; no two kinds before the last begin alike.
+_PIECE = re.compile(f"[{_class('L')}]+|[{_class('N')}]|'(?:s|t|re|ve|m|ll|d)|[^{re.escape(_SPACE)}{_class('L')}{_class('N')}]+")
+#: How byte-level BPE spells the bytes that are no visible Latin-1 character.
+_SPELLED = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 class WordIds:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.whole = Tokenizer.from_file(path)
         spec = json.loads(self.whole.to_str())
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.known = kinds == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == _SHAPE
-        if self.known:
-            self.words = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": []}))
-            self.words.pre_tokenizer = Sequence([Split("\n", "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
-            vocab = self.whole.get_vocab()
-            self.ends = np.zeros(max(vocab.values()) + 1, bool)
-            self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
+        self.model = self.whole.model
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _of_words(self, words: list[str]) -> dict[str, bytes]:
-        """One call for all; the last token of each word is one that ends a word."""
-        found = np.array(self.words.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        stops = ((np.flatnonzero(self.ends[found]) + 1) * 4).tolist()
-        data = found.tobytes()
-        return {w: data[a:b] for w, a, b in zip(words, [0, *stops], stops, strict=False)}
+    def _of_word(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_SPELLED)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as 32-bit words of this machine (little-endian on all that Spark runs on)."""
-        if not self.known or _UNSAFE.search(text):
+        if not self.known or _SPECIAL in text or _UNSAFE.search(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         pieces = _PIECE.findall(text.lower())
-        cache = self.cache
-        try:
-            return b"".join([cache[p] for p in pieces])
-        except KeyError:
-            new = list({p for p in pieces if p not in cache})
-        ids = self._of_words(new)
-        data = b"".join([cache[p] if p in cache else ids[p] for p in pieces])
-        if len(cache) + len(ids) > CACHE_WORDS:
-            cache.clear()
-        if len(ids) <= CACHE_WORDS:
-            cache.update(ids)
+        cache, old = self.young, self.old
+        for p in set(pieces).difference(cache):
+            cache[p] = old[p] if p in old else self._of_word(p)
+        data = b"".join(map(cache.__getitem__, pieces))
+        if len(cache) > CACHE_WORDS:
+            # A text of very many words leaves nothing behind.
+            self.young, self.old = {}, cache if len(cache) <= 2 * CACHE_WORDS else {}
         return data
 
 
