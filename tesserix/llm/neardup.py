@@ -9,9 +9,10 @@ Documents of equal words are one class before anything is joined. Candidates of
   1 - (1 - s^6)^48, which misses one pair in two million at 0.8 and fewer above.
 
 Classes that share a key or a fingerprint are linked to the least of them only, so no pair is formed; the
-components of these links are the candidate groups. The set of a class moves once, to its group, where a
+components of these links are the candidate groups. The set of a class with candidates moves once, to its group, where a
 search from set to set over an inverted list finds every pair that is similar enough, so the components are
-those of all true links among candidates. A candidate group is held by one task.
+those of all true links among candidates. A candidate group is held by one task. Rows that a bitmap of ids (tesserix.llm.sieve)
+shows to be neither candidates nor in doubt at the end are in no shuffle.
 
 Defined results: null, empty and word-less texts are one class, similar to nothing else; under five words the whole
 sequence is one shingle; of each component one row stays: that of the least id (null is the largest), then
@@ -30,6 +31,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tesserix.llm.common import cut
 from tesserix.llm.components import connected
+from tesserix.llm.sieve import sieve, split
 from tesserix.llm.simhash import links, majority
 from tesserix.llm.textmap import map_batches, map_texts, slices
 
@@ -159,7 +161,8 @@ def _losers(docs: DataFrame, candidates: DataFrame) -> DataFrame:
             gone += sorted((ranked[i][:3] for i in part))[1:]
         return pa.table({"key": pa.array([k for _, _, k in gone], pa.string())})
 
-    sets = map_texts(docs, "_id long, _key string, hashes binary", make, chunk=256)
+    held = split(docs, "doc_id", sieve(candidates, "least"))[0]
+    sets = map_texts(held, "_id long, _key string, hashes binary", make, chunk=256)
     moved = sets.join(candidates, (sets["_key"] == candidates["key"]) & sets["_id"].eqNullSafe(candidates["least"]))
     return moved.select("component", "key", "least", "hashes").groupBy("component").applyInArrow(group, "key string")
 
@@ -191,10 +194,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     wins = rows.join(stay, (rows["key"] == F.col("_k")) & rows["doc_id"].eqNullSafe(F.col("least")), "left")
     # Rows that are not in this table are the only one of their class and stay.
     known = cut(wins.select("key", F.col("doc_id").alias("_id"), "n", F.col("_k").isNotNull().alias("_wins")).filter("n > 1 OR NOT _wins"))
-    keyed = _with_keys(plain, text)
+    maybe, alone = split(plain, doc_id, sieve(known, "_id"))
+    keyed = _with_keys(maybe, text)
     out = keyed.join(known, (keyed["_key"] == known["key"]) & keyed[doc_id].eqNullSafe(known["_id"]), "left").filter("_wins IS NULL OR _wins")
     if known.filter("_wins").limit(1).count():
         # Rows that share words and least id: the first by text, then any, stays.
         again = out.filter("n > 1").withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy(text)))
         out = out.filter("n IS NULL OR n = 1").select(*plain.columns).union(again.filter("_at = 1").select(*plain.columns))
-    return out.select(*plain.columns).toDF(*names)
+    return out.select(*plain.columns).union(alone).toDF(*names)
