@@ -17,7 +17,7 @@ from array import array
 from functools import lru_cache
 
 #: Words of a generation of the cache. A full one becomes the old one, and what the texts use of that moves on, so words of a single text go and frequent ones stay.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 60_000
 _SHAPE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 _ALL = [chr(c) for c in range(0x250) if chr(c) in _SPACE or unicodedata.category(chr(c)) != "Cc"]
