@@ -253,9 +253,7 @@ def sliding_limiter(spark, sf):
 @register("burst_zscore", f"""WITH {EVENTS}, d AS (SELECT user_id, day, count(*) AS n FROM e GROUP BY 1, 2), z AS (SELECT *, avg(n) OVER w AS m, stddev_samp(n) OVER w AS s FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT user_id, day, n, round((n - m) / s, 4) AS z FROM z WHERE s > 0 AND (n - m) / s > 2""")
 def burst_zscore(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    z = events(spark, sf).groupBy("user_id", "day").agg(F.count("*").alias("n")).withColumn("m", F.avg("n").over(w)).withColumn("s", F.stddev_samp("n").over(w))
-    return z.filter("s > 0 AND (n - m) / s > 2").select("user_id", "day", "n", F.round((F.col("n") - F.col("m")) / F.col("s"), 4).alias("z"))
+    return S.bursts(events(spark, sf).groupBy("user_id", "day").agg(F.count("*").alias("n")), "user_id", "day", 2)
 
 
 @register("once_per_session", f"WITH {EVENTS} SELECT user_id, day, k, min(event_id) AS claim FROM e GROUP BY 1, 2, 3")

@@ -62,3 +62,28 @@ def test_names_are_counted_before_they_meet(spark, copies, name):
     df = registry.QUERIES[name](spark, copies)
     assert joined_rows(df) <= spark.read.parquet(f"{copies}/lineitem.parquet").count()
     assert rows_of(df.columns, df.collect()) == twin(name, copies)
+
+
+def test_bursts_at_the_bound_as_in_sql(spark):
+    """Rows exactly at the bound, which rounding puts on either side; all of fewer than 16 earlier rows, from where on SQL's order of sums is open."""
+    import random
+
+    from tesserix.operators import sequences as S
+
+    draw = random.Random(7)
+    rows = [(u, d, draw.randint(1, 4)) for u in range(3000) for d in range(16)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE d (user_id BIGINT, day BIGINT, n BIGINT)")
+    con.execute("INSERT INTO d SELECT unnest($1), unnest($2), unnest($3)", [list(c) for c in zip(*rows)])
+    sql = con.execute("WITH " + registry.ORACLES["burst_zscore"].partition(", z AS")[2].join(["z AS", ""])).fetchall()
+    got = S.bursts(spark.createDataFrame(rows, "user_id long, day long, n long"), "user_id", "day", 2).collect()
+    assert sorted(map(tuple, got)) == sorted(sql) and len(sql) > 300
+
+
+def test_burst_zscore_on_more_rows(spark):
+    top = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{top}/events.parquet'")
+    df = registry.QUERIES["burst_zscore"](spark, top)
+    cur = con.execute(registry.ORACLES["burst_zscore"])
+    assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in cur.description], cur.fetchall())
