@@ -28,6 +28,11 @@ def chain(text: Column, steps) -> Column:
     return text
 
 
+def once(value: Column, body) -> Column:
+    """body(value), with value computed once a row: what stands inside a lambda would run again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def redact(text: Column) -> Column:
     return chain(text, REDACTIONS)
 
@@ -63,9 +68,8 @@ def plain(text: Column) -> Column:
 
 def drop_adjacent_lines(text: Column) -> Column:
     """Non-blank lines that equal the line before them go."""
-    lines = F.split(text, "\n")
-    kept = F.filter(F.transform(lines, lambda x, i: F.when((F.trim(x) != "") & (i > 0) & x.eqNullSafe(F.get(lines, i - 1)), F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
-    return F.array_join(kept, "\n")
+    kept = lambda lines: F.filter(lines, lambda x, i: (F.trim(x) == "") | (i == 0) | (x != F.get(lines, i - 1)))
+    return F.array_join(once(F.split(text, "\n"), kept), "\n")
 
 
 def operation_key(domain: Column, task: Column) -> Column:
@@ -237,9 +241,8 @@ def matches_prefix(text: Column, query: str) -> Column:
 
 def clean_markdown(text: Column) -> Column:
     """Markup noise goes and lines that equal the one before; nothing else does."""
-    lines = F.split(chain(text, MARKDOWN_CLEAN), "\n")
-    kept = F.filter(lines, lambda x, i: (F.trim(x) == "") | (i == 0) | (F.trim(x) != F.trim(F.get(lines, i - 1))))
-    return F.regexp_replace(F.array_join(kept, "\n"), r"\A[ \n]+|[ \n]+\z", "")
+    kept = lambda lines: F.filter(lines, lambda x, i: (F.trim(x) == "") | (i == 0) | (F.trim(x) != F.trim(F.get(lines, i - 1))))
+    return F.regexp_replace(F.array_join(once(F.split(chain(text, MARKDOWN_CLEAN), "\n"), kept), "\n"), r"\A[ \n]+|[ \n]+\z", "")
 
 
 def markdown_chunks(docs: DataFrame) -> DataFrame:
@@ -276,7 +279,7 @@ def breadcrumbs(heads: DataFrame, key: str) -> DataFrame:
 def fold_runs(docs: DataFrame) -> DataFrame:
     """doc_id, t with runs of lines folded, over the array of a text's lines: where runs start, and their lengths by the next start."""
     lines = F.split("t", "\n")
-    starts = F.filter(F.transform(lines, lambda x, i: F.when((i == 0) | (x != F.get(lines, i - 1)), i)), lambda i: i.isNotNull())
+    starts = once(lines, lambda ls: F.filter(F.transform(ls, lambda x, i: F.when((i == 0) | (x != F.get(ls, i - 1)), i)), lambda i: i.isNotNull()))
     d = docs.select("doc_id", lines.alias("l"), starts.alias("s"))
     size = lambda i, j: F.coalesce(F.get("s", j + 1), F.size("l")) - i
     line = lambda i: F.get(F.col("l"), i)

@@ -87,3 +87,21 @@ def test_burst_zscore_on_more_rows(spark):
     df = registry.QUERIES["burst_zscore"](spark, top)
     cur = con.execute(registry.ORACLES["burst_zscore"])
     assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in cur.description], cur.fetchall())
+
+
+def test_long_texts_are_split_once(spark):
+    """A text of many lines: with the split inside the lambda this did not end within 70 s."""
+    import time
+
+    from tesserix.operators import text as T
+
+    rows = [(1, "\n".join(f"line {i // 2}  " for i in range(20_000))), (2, None), (3, ""), (4, "a\n\n\na \n a\nb")]
+    d = spark.createDataFrame(rows, "doc_id long, t string")
+    start = time.perf_counter()
+    clean = dict(d.select("doc_id", T.clean_markdown(F.col("t"))).collect())
+    apart = dict(d.select("doc_id", T.drop_adjacent_lines(F.col("t"))).collect())
+    folded = dict(T.fold_runs(d).collect())
+    assert time.perf_counter() - start < 30
+    assert clean == {1: "\n".join(f"line {i}" for i in range(10_000)), 2: None, 3: "", 4: "a\n\n\na\nb"}
+    assert apart == {1: "\n".join(f"line {i}  " for i in range(10_000)), 2: None, 3: "", 4: "a\n\n\na \n a\nb"}
+    assert folded[1].count("\n") == 19_999 and folded[2] is None
