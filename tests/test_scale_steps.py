@@ -105,3 +105,29 @@ def test_long_texts_are_split_once(spark):
     assert clean == {1: "\n".join(f"line {i}" for i in range(10_000)), 2: None, 3: "", 4: "a\n\n\na\nb"}
     assert apart == {1: "\n".join(f"line {i}  " for i in range(10_000)), 2: None, 3: "", 4: "a\n\n\na \n a\nb"}
     assert folded[1].count("\n") == 19_999 and folded[2] is None
+
+
+def test_embedding_hashes_a_word_once(monkeypatch):
+    import hashlib
+    import re
+
+    from tesserix.operators import similarity as S
+
+    def plain(text, dim):
+        out, words = [0.0] * dim, re.findall("[a-zA-Z0-9_]+", text.lower())
+        joined = "_".join(words)
+        for grams, weight, sign in ((words, 1.0, 4), ([joined[i : i + 3] for i in range(len(joined) - 2)], 0.25, 5)):
+            for g in grams:
+                d = hashlib.sha256(g.encode()).digest()
+                out[int.from_bytes(d[:4], "big") % dim] += weight if d[sign] & 1 else -weight
+        norm = sum(x * x for x in out) ** 0.5
+        return [x / norm if norm else x for x in out]
+
+    texts = ["", "a", "ab", "--", "The quick_brown fox, ÄÖ İstanbul 12 fox", "K9 K x" * 5, "w" * 500 + " A_b", "the fox " * 1000]
+    for t in texts:
+        for dim in (4, 64):
+            assert S.embed(t, dim) == pytest.approx(plain(t, dim), abs=1e-12)
+    calls, whole = [], S._slot
+    monkeypatch.setattr(S, "_slot", lambda *a: calls.append(a) or whole(*a))
+    S.embed("hound and fox " * 500, 64)
+    assert len(calls) <= 3
