@@ -131,3 +131,18 @@ def test_embedding_hashes_a_word_once(monkeypatch):
     monkeypatch.setattr(S, "_slot", lambda *a: calls.append(a) or whole(*a))
     S.embed("hound and fox " * 500, 64)
     assert len(calls) <= 3
+
+
+def test_signatures_hash_a_word_once(monkeypatch):
+    from tesserix.operators import similarity as S
+
+    plain = lambda words: S._permuted(words).min(axis=0).tolist()
+    small = S._Permuted(20)
+    monkeypatch.setattr(S, "_seen", lambda: small)
+    for words in (["a", "b"], [f"x{i}" for i in range(15)], ["a", "b", "c", "x1", "x2"], [f"y{i}" for i in range(30)], ["a", "y1"]):
+        assert S.signature(words) == plain(words) and len(small.at) <= 20
+    hashed, whole = [], S._permuted
+    monkeypatch.setattr(S, "_permuted", lambda words: hashed.extend(words) or whole(words))
+    for _ in range(5):
+        S.signature(["fresh", "words", "fresh"])
+    assert sorted(hashed) == ["fresh", "words"]
