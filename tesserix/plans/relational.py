@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesserix.operators import predicates as P
 from tesserix.plans.base import EVENTS, events
 from tesserix.plans.registry import register
+from tesserix.shared import spread
 from tesserix.sources import table
 
 ORDERS = P.Select(
@@ -38,8 +39,12 @@ def predicate_scan_capped(spark, sf):
 
 @register("join_caller_counts", "SELECT p_partkey, p_brand, count(l_orderkey) AS callers, count(DISTINCT l_suppkey) AS suppliers FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY ALL")
 def join_caller_counts(spark, sf):
-    j = table(spark, sf, "part").join(table(spark, sf, "lineitem"), F.col("p_partkey") == F.col("l_partkey"), "left")
-    return j.groupBy("p_partkey", "p_brand").agg(F.count("l_orderkey").alias("callers"), F.countDistinct("l_suppkey").alias("suppliers"))
+    """Items are counted by part first, a bounded number of them a task; parts that share a key and brand count as one."""
+    items = spread(table(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_suppkey"), "l_partkey")
+    n = items.groupBy("l_partkey").agg(F.count("l_orderkey").alias("n"), F.countDistinct("l_suppkey").alias("s"))
+    p = table(spark, sf, "part").groupBy("p_partkey", "p_brand").agg(F.count("*").alias("same"))
+    j = p.join(n, F.col("p_partkey") == F.col("l_partkey"), "left")
+    return j.select("p_partkey", "p_brand", (F.coalesce("n", F.lit(0)) * F.col("same")).alias("callers"), F.coalesce("s", F.lit(0)).alias("suppliers"))
 
 
 @register("join_anti_unsynced", "SELECT c_custkey, c_name FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-03-01') ON c_custkey = o_custkey")

@@ -146,3 +146,20 @@ def test_signatures_hash_a_word_once(monkeypatch):
     for _ in range(5):
         S.signature(["fresh", "words", "fresh"])
     assert sorted(hashed) == ["fresh", "words"]
+
+
+@pytest.mark.parametrize("name", ["join_caller_counts"])
+def test_tasks_hold_a_bounded_number_of_items(spark, tmp_path, name):
+    """Also where keys of parts and orders come twice, suppliers are unknown and parts have no items."""
+    from tesserix.shared import spread
+
+    assert spread(spark.range(1050), "id", each=100).rdd.getNumPartitions() == 11 and spread(spark.range(0), "id").count() == 0
+    tables = ("part", "lineitem", "supplier", "orders", "customer")
+    for t in tables:
+        d = spark.read.parquet(f"{SF}/{t}.parquet")
+        if t == "lineitem":
+            d = d.filter("l_partkey % 7 <> 0").withColumn("l_suppkey", F.when(F.col("l_orderkey") % 5 > 0, F.col("l_suppkey")))
+        (d.union(d.limit(20)) if t in ("part", "orders") else d).write.parquet(f"{tmp_path}/{t}.parquet")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    assert rows_of(df.columns, df.collect()) == twin(name, tmp_path, tables)
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
