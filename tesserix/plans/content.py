@@ -12,7 +12,7 @@ from tesserix.operators import similarity as D
 from tesserix.operators import text as T
 from tesserix.plans.base import EVENTS, HOPS, hops
 from tesserix.plans.registry import register
-from tesserix.shared import shared_dir
+from tesserix.shared import shared_dir, spread
 from tesserix.sources import table
 from tesserix.streaming import refold
 
@@ -202,9 +202,13 @@ def graph_neighbourhood(spark, sf):
 
 @register("graph_topology", """SELECT s_nationkey AS src, c_nationkey AS dst, count(DISTINCT o_orderkey) AS edges FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2""")
 def graph_topology(spark, sf):
+    """An order once a pair of nations; items and orders meet in partitions of a bounded number of items."""
     s, li, o, c = (table(spark, sf, t) for t in ("supplier", "lineitem", "orders", "customer"))
-    j = li.join(s, li["l_suppkey"] == s["s_suppkey"]).join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).filter("s_nationkey <> c_nationkey")
-    return j.groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg(F.countDistinct("o_orderkey").alias("edges"))
+    n = li.count()
+    sold = spread(li.join(s, li["l_suppkey"] == s["s_suppkey"]).select("l_orderkey", "s_nationkey"), "l_orderkey", rows=n).distinct()
+    bought = spread(o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", "c_nationkey"), "o_orderkey", rows=n).distinct()
+    j = sold.join(bought, F.col("l_orderkey") == F.col("o_orderkey")).filter("s_nationkey <> c_nationkey")
+    return j.groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg(F.count("*").alias("edges"))
 
 
 # Streams

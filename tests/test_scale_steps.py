@@ -148,7 +148,7 @@ def test_signatures_hash_a_word_once(monkeypatch):
     assert sorted(hashed) == ["fresh", "words"]
 
 
-@pytest.mark.parametrize("name", ["join_caller_counts"])
+@pytest.mark.parametrize("name", ["join_caller_counts", "graph_topology"])
 def test_tasks_hold_a_bounded_number_of_items(spark, tmp_path, name):
     """Also where keys of parts and orders come twice, suppliers are unknown and parts have no items."""
     from tesserix.shared import spread
